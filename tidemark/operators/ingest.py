@@ -109,10 +109,11 @@ def reconcile(stored: DataFrame, source: DataFrame, key: str, measure: str) -> D
 
 def changed_files(records: DataFrame, id: str, lists: dict[str, str], renames: str) -> DataFrame:
     """``id, status, path``: status letters of list columns; a rename is D of the old and A of the new path."""
-    parts = [F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda p, s=s: F.struct(F.lit(s).alias("status"), p.alias("path"))) for s, c in lists.items()]
+    one = lambda s: lambda p: F.struct(F.lit(s).alias("status"), p.alias("path"))
+    side = lambda s, of: lambda p: one(s)(p[of])
+    parts = [F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), one(s)) for s, c in lists.items()]
     pairs = F.coalesce(F.col(renames), F.array().cast("array<struct<old:string,new:string>>"))
-    for s, side in (("D", "old"), ("A", "new")):
-        parts.append(F.transform(pairs, lambda p, s=s, side=side: F.struct(F.lit(s).alias("status"), p[side].alias("path"))))
+    parts += [F.transform(pairs, side("D", "old")), F.transform(pairs, side("A", "new"))]
     return records.select(id, F.explode(F.concat(*parts)).alias("c")).select(id, "c.*").where("path IS NOT NULL").distinct()
 
 
