@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,14 +24,13 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
     )
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` on reliable storage and cut its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints, set in the context.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``. Only a local session that
-    names none gets a temporary folder; on a cluster a missing folder is an error, since a folder of
-    one machine would not survive the loss of that machine.
+    It is the one the session names in ``spark.checkpoint.dir``. Only a local session that names none
+    gets a temporary folder; on a cluster a missing folder is an error, since a folder of one machine
+    would not survive the loss of that machine.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -39,6 +39,17 @@ def durable(df: DataFrame) -> DataFrame:
                 raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
             folder = tempfile.mkdtemp(prefix="tidemark-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared folder and cut its lineage; it survives the loss of executors."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
