@@ -278,7 +278,7 @@ def spectral_embedding(edges: DataFrame, rank: int = 32) -> DataFrame:
     return factor_embedding(m.select(F.col("u").alias("node"), F.col("v").alias("col"), (1 / F.sqrt(F.col("du") * F.col("dv"))).alias("m")), rank, "node", "col", "m")
 
 
-def train_distmult(triples: DataFrame, dim: int = 32, epochs: int = 10, negatives: int = 3, rate: float = 0.5, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+def train_distmult(triples: DataFrame, dim: int = 32, epochs: int = 10, negatives: int = 3, rate: float = 4.0, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """Entity vectors (entity, x) and relation vectors (rel, x) of a bilinear-diagonal model of (head, rel, tail).
 
     Gradient steps over all triples: each epoch joins triples with the vectors, draws the tails of

@@ -51,27 +51,30 @@ def strict_past(
     maximum or minimum null. Null keys are a group. ``inclusive`` takes the row itself in. Rows of equal
     keys should differ in ``seq``.
     """
-    block = fresh(df, "block_")
+    taken = [*df.columns, *facts]
+    block, of_block = fresh(taken, "block_"), fresh(taken, "of_block_")
+    key_of = {k: fresh(taken, f"key_{i}_") for i, k in enumerate(keys)}
+    past_of = {n: fresh(taken, f"past_{n}_") for n in facts}
     df = df.withColumn(block, F.floor(F.col(seq) / block_rows))
     upto = 0 if inclusive else -1
     inside = W.partitionBy(*keys, block).orderBy(seq).rowsBetween(W.unboundedPreceding, upto)
     before = W.partitionBy(*keys).orderBy(block).rowsBetween(W.unboundedPreceding, -1)
     totals = df.groupBy(*keys, block).agg(*[_HOW[how](x).alias(n) for n, (how, x) in facts.items()])
     totals = totals.select(
-        *[F.col(k).alias(f"key_{i}_") for i, k in enumerate(keys)], F.col(block).alias("of_block_"),
-        *[_HOW[how](F.col(n)).over(before).alias(f"past_{n}_") for n, (how, _) in facts.items()],
+        *[F.col(k).alias(n) for k, n in key_of.items()], F.col(block).alias(of_block),
+        *[_HOW[how](F.col(n)).over(before).alias(past_of[n]) for n, (how, _) in facts.items()],
     )
-    same = F.col(block) == F.col("of_block_")
-    for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"key_{i}_"))
+    same = F.col(block) == F.col(of_block)
+    for k, n in key_of.items():
+        same = same & F.col(k).eqNullSafe(F.col(n))
     out = df.withColumns({n: _HOW[how](x).over(inside) for n, (how, x) in facts.items()}).join(totals, same, "left")
     for n, (how, _) in facts.items():
-        own, past = F.col(n), F.col(f"past_{n}_")
+        own, past = F.col(n), F.col(past_of[n])
         if how == "sum":
             out = out.withColumn(n, F.coalesce(own, F.lit(0)) + F.coalesce(past, F.lit(0)))
         else:
             out = out.withColumn(n, (F.greatest if how == "max" else F.least)(own, past))
-    return out.drop(block, "of_block_", *[f"key_{i}_" for i in range(len(keys))], *[f"past_{n}_" for n in facts])
+    return out.drop(block, of_block, *key_of.values(), *past_of.values())
 
 
 def recent_past(df: DataFrame, seq: str, k: int, facts: dict[str, Column], inclusive: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -137,5 +140,6 @@ def expanding_z(df: DataFrame, seq: str, x: str, name: str, least: int = 30, flo
 
 def first_use(df: DataFrame, keys: list[str], seq: str, name: str = "is_first") -> DataFrame:
     """Add 1 to the first row of each combination of keys, else 0."""
-    firsts = df.groupBy(*keys).agg(F.min(seq).alias("first_"))
-    return df.join(firsts, keys, "left").withColumn(name, F.coalesce((F.col(seq) == F.col("first_")).cast("int"), F.lit(0))).drop("first_")
+    first = fresh(df, "first_")
+    firsts = df.groupBy(*keys).agg(F.min(seq).alias(first))
+    return df.join(firsts, keys, "left").withColumn(name, F.coalesce((F.col(seq) == F.col(first)).cast("int"), F.lit(0))).drop(first)

@@ -93,25 +93,22 @@ def _with_tasks(df: DataFrame, plan: LoadPlan, tasks_col: str) -> DataFrame:
     spark = df.sparkSession
     kinds = [df.schema[k] for k in plan.keys]
     key_names = [fresh(df, f"plan_key_{i}") for i in range(len(kinds))]
+    named_at, group_at, group, group_col = (fresh(df, n) for n in ("named_at_", "group_at_", "group_no_", "plan_group_"))
     named = spark.createDataFrame(
         [(*key, at) for key, at in plan.named],
-        T.StructType([*(T.StructField(n, k.dataType) for n, k in zip(key_names, kinds)), T.StructField("named_at_", T.ArrayType(T.IntegerType()))]),
-    )
-    groups = spark.createDataFrame(
-        [(g, [t]) for g, t in enumerate(plan.groups)],
-        "group_ int, group_at_ array<int>",
+        T.StructType([*(T.StructField(n, k.dataType) for n, k in zip(key_names, kinds)), T.StructField(named_at, T.ArrayType(T.IntegerType()))]),
     )
+    groups = spark.createDataFrame([(g, [t]) for g, t in enumerate(plan.groups)], f"`{group}` int, `{group_at}` array<int>")
     same = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(plan.keys, key_names)]
     condition = same[0]
     for s in same[1:]:
         condition = condition & s
-    group_col = fresh(df, "plan_group_")
     return (
         df.withColumn(group_col, _group(plan.keys, len(plan.groups)))
         .join(F.broadcast(named), condition, "left")
-        .join(F.broadcast(groups), F.col(group_col) == F.col("group_"), "left")
-        .withColumn(tasks_col, F.coalesce("named_at_", "group_at_"))
-        .drop(group_col, "group_", "named_at_", "group_at_", *key_names)
+        .join(F.broadcast(groups), F.col(group_col) == F.col(group), "left")
+        .withColumn(tasks_col, F.coalesce(named_at, group_at))
+        .drop(group_col, group, named_at, group_at, *key_names)
     )
 
 
