@@ -64,7 +64,7 @@ def all_edges(records: DataFrame, rules: list[EdgeRule]) -> DataFrame:
 
 
 def node_table(records: DataFrame, nodes: list[NodeRule], edges: list[EdgeRule], order: str) -> DataFrame:
-    """``label, id, props`` of the nodes of all rules and of the targets of edges, which need no rule."""
+    """``label, id, props, implied`` of the nodes of all rules and of the targets of edges, which need no rule (implied)."""
     made = []
     for rule in nodes:
         rows = upsert_nodes(records, rule, order)
@@ -73,7 +73,7 @@ def node_table(records: DataFrame, nodes: list[NodeRule], edges: list[EdgeRule],
     known = reduce(DataFrame.unionByName, made)
     implied = all_edges(records, edges).select(F.col("dst_label").alias("label"), F.col("dst").alias("id")).distinct()
     missing = implied.join(known, ["label", "id"], "left_anti").withColumn("props", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
-    return known.unionByName(missing)
+    return known.withColumn("implied", F.lit(False)).unionByName(missing.withColumn("implied", F.lit(True)))
 
 
 def resolve_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -55,7 +55,7 @@ def node_counts_by_label(spark, d):
 def implied_nodes(spark, d):
     held = _held(spark, d)
     made = ops.node_table(held, NODES, EDGES, "ingested_at")
-    return made.where("cardinality(props) = 0 AND label <> 'Project'").select("label", "id")
+    return made.where("implied AND label <> 'Project'").select("label", "id")
 
 
 def parent_edges(spark, d):
