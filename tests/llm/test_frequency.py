@@ -35,6 +35,17 @@ def test_against_counter(spark, flush, copies):
     assert {r["term"]: (r["occurrences"], r["records"]) for r in got} == brute(rows)
 
 
+def test_a_record_with_a_third_of_all_rows_is_cut(spark):
+    """Its rows lie in several partitions, and each of its terms still counts it once."""
+    rows = [("hot" if i % 3 else f"r{i:03d}", f"alpha beta w{'xyz'[i % 3]}{'abcdefghij'[i % 10]}", None, "") for i in range(600)]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = term_frequencies(spark.createDataFrame(rows, SCHEMA), "id", ["message", "diff"], False, 5).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert {r["term"]: (r["occurrences"], r["records"]) for r in got} == brute(rows)
+
+
 def test_marks_and_empty(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert term_frequencies(empty, "id", ["message"]).collect() == []

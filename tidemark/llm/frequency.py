@@ -1,10 +1,12 @@
 """Occurrences and records of every distinct term, by last-seen counters.
 
-Each term has three numbers: its occurrences, its records and the last record it was seen in. Tokens
-come ordered by record, so a token of another record than the last one raises the records, and no set
-of terms per record is ever kept. The counters are kept twice: in every input partition (the records
-of a partition are read in order and its counters leave it as one row per term), and in the
-hash partition of the term, where the counters of all partitions add up. Only the counters are shuffled.
+Each term has its occurrences, its records and the last record it was seen in. Tokens come ordered by
+record, so a token of another record than the last one raises the records, and no set of terms per
+record is ever kept. The counters are kept twice: over the records of an input partition, whose counters
+leave it as one row per term with the first and the last record; and in the hash partition of the
+term, where these rows, ordered by record, go on counting: a row that starts with the record the row
+before it ended with brings one record less. Only counters are shuffled, and a record with very many
+rows may lie in any number of partitions.
 """
 
 from __future__ import annotations
@@ -15,9 +17,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-OUT = "term string, occurrences long, records long"
+OUT = "term string, occurrences long, records long, first_record string, last_record string"
 
 
 def tokens(texts: pa.Array, low: str = "a-z", least: int = 2) -> tuple[pa.Array, np.ndarray]:
@@ -29,47 +32,50 @@ def tokens(texts: pa.Array, low: str = "a-z", least: int = 2) -> tuple[pa.Array,
 
 
 def last_seen_counters(batches: Iterator[pa.RecordBatch], flush_terms: int) -> Iterator[pa.RecordBatch]:
-    """Counters of one partition whose rows are (record, text...) with the rows of a record together."""
+    """Counters of one partition whose rows are (record, text...) in order of record."""
     counters: dict[str, list] = {}
-    before: object = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        record = pc.fill_null(batch.column(0).cast(pa.string()), "")
+        record = pc.fill_null(batch.column(0), "")
         change = np.ones(batch.num_rows, dtype=np.int64)
         change[1:] = pc.not_equal(record[1:], record[:-1]).to_numpy(zero_copy_only=False)
         ordinal = np.cumsum(change) - 1
-        first, last = record[0].as_py(), record[-1].as_py()
+        names = record.filter(pa.array(change.astype(bool))).to_pylist()
         found = [tokens(batch.column(i)) for i in range(1, batch.num_columns)]
         words = pa.chunked_array([w for w, _ in found], pa.string()).combine_chunks().dictionary_encode()
         ids = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        at = np.concatenate([ordinal[r] for _, r in found])
-        n = int(ordinal[-1]) + 1
-        seen = np.sort(ids * n + at)
+        if not len(ids):
+            continue
+        n = len(names)
+        seen = np.sort(ids * n + np.concatenate([ordinal[r] for _, r in found]))
         new = np.ones(len(seen), dtype=bool)
         new[1:] = seen[1:] != seen[:-1]
+        visits = seen[new]  # one for each term and record, by term, then record
+        term_of = visits // n
+        starts = np.flatnonzero(np.r_[True, term_of[1:] != term_of[:-1]])
+        ends = np.r_[starts[1:], len(visits)]
         terms = words.dictionary.to_pylist()
-        occurrences = np.bincount(ids, minlength=len(terms)).tolist()
-        visits = seen[new]
-        records = np.bincount(visits // n, minlength=len(terms)).tolist()
-        in_first = set((visits[visits % n == 0] // n).tolist()) if first == before else ()
-        in_last = set((visits[visits % n == n - 1] // n).tolist())
-        for i, term in enumerate(terms):
-            c = counters.setdefault(term, [0, 0, None])
-            c[0] += occurrences[i]
-            c[1] += records[i] - (i in in_first and c[2] == before)
-            c[2] = last if i in in_last else None  # only the last record of a batch can go on in the next
-        before = last
+        occurrences = np.bincount(ids, minlength=len(terms))
+        for t, k, lo, hi in zip(term_of[starts].tolist(), (ends - starts).tolist(), (visits[starts] % n).tolist(), (visits[ends - 1] % n).tolist()):
+            c = counters.get(terms[t])
+            if c is None:
+                counters[terms[t]] = [int(occurrences[t]), k, names[lo], names[hi]]
+            else:
+                c[0] += int(occurrences[t])
+                c[1] += k - (c[3] == names[lo])
+                c[3] = names[hi]
         if len(counters) > flush_terms:
             yield _rows(counters)
-            counters = {t: [0, 0, before] for t, c in counters.items() if c[2] == before}
+            counters = {}
     if counters:
         yield _rows(counters)
 
 
 def _rows(counters: dict[str, list]) -> pa.RecordBatch:
-    columns = list(zip(*[(t, c[0], c[1]) for t, c in counters.items()]))
-    return pa.record_batch([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64())], names=["term", "occurrences", "records"])
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    columns = zip(*[(t, *c) for t, c in counters.items()])
+    return pa.record_batch([pa.array(x, k) for x, k in zip(columns, kinds)], names=["term", "occurrences", "records", "first_record", "last_record"])
 
 
 def term_frequencies(
@@ -78,14 +84,19 @@ def term_frequencies(
     """``term, occurrences, records`` over all ``texts`` of all ``records``.
 
     A term is a longest run of two or more letters A-Z, a-z, lower-cased. ``unique`` says that each
-    record is one row; otherwise the rows are first brought together by record. Null and empty texts
-    have no terms; a null record counts as one record. An empty table gives no row. ``flush_terms`` bounds
-    the counters that a task holds: beyond it they are passed on and started again, without loss.
+    non-null record is one row; otherwise rows are put in order of record by ranges, which cut a record
+    with very many rows. Null and empty texts have no terms; rows without record, and those whose record is
+    the empty string, are one record. An empty table gives no row. ``flush_terms`` bounds the counters that
+    a task holds: beyond it they are passed on and started again, without loss.
     """
     rows = records.select(F.col(record).cast("string").alias("record"), *[F.col(t).alias(f"text_{i}") for i, t in enumerate(texts)])
     if not unique:
-        rows = rows.repartition("record").sortWithinPartitions("record")
+        rows = rows.withColumn("record", F.coalesce("record", F.lit("")))
+        rows = rows.withColumn("spread", F.xxhash64(*rows.columns)).repartitionByRange("record", "spread").sortWithinPartitions("record").drop("spread")
     counted = rows.mapInArrow(lambda batches: last_seen_counters(batches, flush_terms), OUT)
+    ordered = W.partitionBy("term").orderBy("first_record", "last_record")
+    again = F.coalesce((F.lag("last_record").over(ordered) == F.col("first_record")).cast("long"), F.lit(0))
+    counted = counted.withColumn("records", F.col("records") - again)
     return counted.groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
 
 
