@@ -52,3 +52,10 @@ def test_milliseconds(spark):
     df = spark.createDataFrame([(1_700_000_000_000,), (1_700_000_000,), (None,)], "t long")
     assert [r[0] for r in df.select(seconds("t")).collect()] == [1_700_000_000, 1_700_000_000, None]
     assert df.select(F.max(seconds("t"))).dtypes[0][1] == "bigint"
+
+
+def test_payload_named_like_a_key(spark):
+    events = spark.createDataFrame([(1, "a", 5, "own", "")], EV_SCHEMA)
+    said = spark.createDataFrame([("a", 0, 0, 1, "known", 0)], ST_SCHEMA)
+    got = known_at_event_time(events, said, Events("who", "at", ("id", "value")), ST).collect()[0]
+    assert (got["value"], got["value_known"]) == ("own", "known")

@@ -69,3 +69,8 @@ def test_late_change_before_a_tombstone_stays_without_effect(spark):
 def test_empty_feed_and_empty_base(spark):
     assert state_of(spark, [], []) == {}
     assert state_of(spark, [("f::a", None, True, None, "k", 0)], []) == {"f::a": (None, "k", 0)}
+
+
+def test_names_of_the_result_are_kept_free(spark):
+    with pytest.raises(ValueError):
+        apply_changes(spark.createDataFrame([], BASE), spark.createDataFrame([], FEED), Base("id", "file", "alive", {"key": "value"}, {}), Feed("no", "delivery", "op", "node", "file", {"key": "new"}, {}))

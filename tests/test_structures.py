@@ -52,6 +52,24 @@ def test_tiers_by_hand(spark):
     assert tiers.cochange_tier(more).where("id = 'c1'").collect() == []
 
 
+def test_cochange_does_not_depend_on_blocks(spark):
+    rng = random.Random(4)
+    rows = sorted({(f"e{i:02d}", i, i, 0, rng.choice(["hot", "hot", *"abcdef"])) for i in range(50) for _ in range(3)})
+    hubs = spark.createDataFrame(rows, "id string, seq long, ts long, y int, hub string")
+    want, counts = set(), {}
+    for i in range(50):
+        own = sorted({r[4] for r in rows if r[1] == i})
+        for a in own:
+            best = sorted(counts.get(a, {}).items(), key=lambda kv: (-kv[1], kv[0]))[:2]
+            want |= {(f"e{i:02d}", b) for b, _ in best if b not in own}
+        for a in own:
+            for b in own:
+                if a != b:
+                    counts.setdefault(a, {})[b] = counts.get(a, {}).get(b, 0) + 1
+    for block in (7, 50_000):
+        assert {tuple(r) for r in tiers.cochange_tier(hubs, 2, block).collect()} == want
+
+
 def test_ordinal_match_of_one_method(spark):
     """before a, a, b; after a, b, b: two kept, one removed, one added."""
     rows = lambda types: spark.createDataFrame([("m", t, i, t) for i, t in enumerate(types)], "method string, type string, node int, value string")

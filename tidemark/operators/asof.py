@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tidemark.session import parallelism
+from tidemark.session import fresh, parallelism
 
 LOWEST = -(2**63)
 
@@ -76,7 +76,8 @@ def known_at_event_time(
     Returns ``ev.keys`` and ``st.payload``; the payload is null where nothing was known. Exact copies
     of an event give one row. Events without entity or time are kept with a null payload; statements
     without entity, valid_from or known_at are never known. A null tie value ranks lowest. Other
-    columns of either table, whatever their names, are ignored.
+    columns of either table, whatever their names, are ignored; a payload column named like a key
+    comes back with ``_known`` behind its name.
     """
     spark = events.sparkSession
     key_of = {f"k{i}": k for i, k in enumerate(ev.keys)}
@@ -120,7 +121,7 @@ def known_at_event_time(
 
     out = T.StructType(
         [T.StructField(k, events.schema[k].dataType) for k in ev.keys]
-        + [T.StructField(p, statements.schema[p].dataType) for p in st.payload]
+        + [T.StructField(fresh(list(ev.keys), p + "_known") if p in ev.keys else p, statements.schema[p].dataType) for p in st.payload]
     )
     quoted = lambda name: '"' + name.replace('"', '""') + '"'
     sql = _SQL.format(

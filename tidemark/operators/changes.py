@@ -82,6 +82,9 @@ def apply_changes(
     taken from its key. Extra columns are ignored.
     """
     names = [*ff.payload, *ff.fixed]
+    clash = {"key", "grp", "alive", "set_by"} & {n.lower() for n in names}
+    if clash or len(set(names)) < len(names):
+        raise ValueError(f"payload and fixed columns need names of their own: {sorted(clash)}")
     content = F.struct(
         F.col(ff.delivery).cast("long").alias("delivery"),
         op_name(F.col(ff.op)).alias("op"),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -64,20 +67,38 @@ def cochange_pairs(hubs: DataFrame) -> DataFrame:
     return x.join(hubs.select("id", F.col("hub").alias("b")), "id").where("a <> b").select("a", "b", "seq")
 
 
-def cochange_tier(hubs: DataFrame, k: int = 25) -> DataFrame:
+def cochange_tier(hubs: DataFrame, k: int = 25, block_rows: int = 50_000) -> DataFrame:
     """``id, other``: per hub of the event the ``k`` hubs it changed with most often before, without own hubs.
 
-    Counts are of earlier events only. Each (a, b) pair gets its running count once per event it is
-    in; an event asks for the last count of every partner before it, by an as-of step over the
-    union of askers and counts per hub. Ties: the lesser name.
+    Counts are of earlier events only; ties go to the lesser name. The stream is cut into blocks: the counts
+    at a block's start come from sums per pair and block, and within a block one task per hub counts on.
+    So a hub's whole history is never in one task, and no event is joined with the events before it.
     """
-    pairs = cochange_pairs(hubs)
-    counted = pairs.withColumn("n", F.row_number().over(W.partitionBy("a", "b").orderBy("seq")))
-    asks = hubs.select("id", F.col("hub").alias("a"), F.col("seq").alias("at")).distinct()
-    # of each pair the greatest count before the asking event: counts rise with seq
-    best = asks.join(counted, "a").where("seq < at").groupBy("id", "a", "b").agg(F.max("n").alias("n"))
-    top = best.withColumn("r_", F.row_number().over(W.partitionBy("id", "a").orderBy(F.desc("n"), "b"))).where(F.col("r_") <= k)
-    return outside(top.select("id", F.col("b").alias("other")).distinct(), hubs.select("id", "hub"))
+    block = F.floor(F.col("seq") / block_rows)
+    own = hubs.select("id", "seq", F.col("hub").alias("a")).distinct().withColumn("block", block)
+    pairs = cochange_pairs(hubs).withColumn("block", block)
+    per = pairs.groupBy("a", "b", F.col("block").alias("of")).agg(F.count(F.lit(1)).alias("c"))
+    start = own.select("a", "block").distinct().join(per, "a").where("of < block").groupBy("a", "block", "b").agg(F.sum("c").alias("n"))
+    text = F.lit(None).cast("string")
+    rows = (
+        start.select("a", "block", F.lit(-1).cast("long").alias("seq"), F.lit(0).alias("what"), "b", text.alias("id"), "n")
+        .unionByName(own.select("a", "block", "seq", F.lit(1).alias("what"), text.alias("b"), F.col("id").cast("string").alias("id"), F.lit(0).cast("long").alias("n")))
+        .unionByName(pairs.select("a", "block", "seq", F.lit(2).alias("what"), "b", text.alias("id"), F.lit(1).cast("long").alias("n")))
+    )
+
+    def count_on(df: pd.DataFrame) -> pd.DataFrame:
+        df = df.sort_values(["seq", "what"])
+        counts: dict[str, int] = {}
+        out = []
+        for what, b, id_, n in zip(df["what"], df["b"], df["id"], df["n"]):
+            if what == 1:
+                out += [(id_, x) for x, _ in heapq.nsmallest(k, counts.items(), key=lambda kv: (-kv[1], kv[0]))]
+            else:
+                counts[b] = counts.get(b, 0) + n
+        return pd.DataFrame(out, columns=["id", "other"])
+
+    found = rows.groupBy("a", "block").applyInPandas(count_on, "id string, other string").distinct()
+    return outside(found.withColumn("id", F.col("id").cast(hubs.schema["id"].dataType)), hubs.select("id", "hub"))
 
 
 def capped_lists(tier: DataFrame, cap: int = 400) -> DataFrame:

@@ -209,7 +209,7 @@ def group_shares(spark, d):
 
 def churn_ratio(spark, d):
     c = changes(spark, d)
-    return c.agg(F.round(F.count_if(F.col("op") == "REMOVES") / F.count_if(F.col("op") == "ADDS"), 6).alias("churn_ratio"), F.count_if(F.col("op") == "ADDS").alias("adds"))
+    return c.agg(F.round(F.try_divide(F.count_if(F.col("op") == "REMOVES"), F.count_if(F.col("op") == "ADDS")), 6).alias("churn_ratio"), F.count_if(F.col("op") == "ADDS").alias("adds"))
 
 
 def delta_ratio_of_means(spark, d):
@@ -373,7 +373,7 @@ ORACLE = {
     "macro_vs_weighted": _s("SELECT metric, count(*) AS n, round(avg(value), 6) AS macro, round(sum(n_eval * value) / sum(n_eval), 6) AS weighted_n_eval FROM lg GROUP BY metric", _BYP.replace("round(", "(").replace(", 6)", ")"), _LONG),
     "pooled_metrics": _s(f"SELECT {_MET}{_MCC} FROM (SELECT {_CNT} FROM sc)"),
     "switch_splice": _s("SELECT seq, CASE WHEN seq < 200 THEN t ELSE s END AS score FROM sc"),
-    "best_switch_point": _s("SELECT sw AS switch, round(avg((((CASE WHEN seq < sw THEN t ELSE s END) >= 0.3)::INT = y)::INT), 6) AS accuracy FROM sc, (SELECT unnest([0, 100, 200, 300, 400]) AS sw) GROUP BY sw ORDER BY avg((((CASE WHEN seq < sw THEN t ELSE s END) >= 0.3)::INT = y)::INT) DESC, sw LIMIT 1"),
+    "best_switch_point": _s("SELECT sw AS switch, round(avg((((CASE WHEN seq < sw THEN t ELSE s END) >= 0.3)::INT = y)::INT), 6) AS accuracy FROM sc, (SELECT unnest([0, 100, 200, 300, 400])::BIGINT AS sw) GROUP BY sw ORDER BY avg((((CASE WHEN seq < sw THEN t ELSE s END) >= 0.3)::INT = y)::INT) DESC, sw LIMIT 1"),
     "best_in_column": _s("SELECT project, metric, value, row_number() OVER (PARTITION BY metric ORDER BY value DESC, project) AS rank, (value = max(value) OVER (PARTITION BY metric))::INT::BIGINT AS is_best FROM lg", _BYP, _LONG),
     "metric_pivot": _s("SELECT project, accuracy, precision, recall FROM bp", _BYP),
     "parsimony_choice": _s("SELECT project, n_eval, accuracy FROM bp WHERE accuracy >= (SELECT max(accuracy) FROM bp) - 0.1 ORDER BY n_eval, accuracy DESC, project LIMIT 1", _BYP),
