@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import ACTION_WORDS, BUG_WORDS, kind_of_word
 from tidemark.llm.frequency import term_frequencies, with_marks
 from tidemark.llm.leaks import find_leaks, remove_leaks
 from tidemark.llm.levels import band, level_profile, reading_levels, train
@@ -45,6 +46,17 @@ def p4_pairs(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p4_cooccurs(spark: SparkSession, d: str) -> DataFrame:
+    """Rows for the stored co-occurrence table, with the stored value they take the place of (null where none is valid)."""
+    pairs = _pairs(spark, d).where("npmi >= 0.15")
+    id_of = lambda c: F.concat_ws(":", kind_of_word(F.col(c)), c)
+    old = table(spark, d, "cooccurs").where("a <> b AND npmi BETWEEN -1 AND 1 AND NOT isnan(npmi)")
+    old = old.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("npmi").alias("stale_npmi"))
+    new = pairs.select(id_of("term_a").alias("x"), id_of("term_b").alias("y"), "npmi")
+    new = new.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.round("npmi", 6).alias("npmi"))
+    return new.join(old, ["a", "b"], "left").select("a", "b", "npmi", F.round("stale_npmi", 6).alias("stale_npmi"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_leaks(spark, d).select("item_id", "doc_id")
 
@@ -90,6 +102,7 @@ QUERIES = {
     "p3_term_frequencies": p3_term_frequencies,
     "p4_found": p4_found,
     "p4_pairs": p4_pairs,
+    "p4_cooccurs": p4_cooccurs,
     "p6_found": p6_found,
     "p6_leaks": p6_leaks,
     "p6_clean_documents": p6_clean_documents,
@@ -138,11 +151,18 @@ x AS (SELECT doc_id, w / s + 100.0 * l / w AS x FROM m WHERE w >= 40)
 SELECT doc_id, CASE WHEN x < 30 THEN 'easy' ELSE 'hard' END AS band FROM x WHERE x < 30 OR x > 60
 """
 
+_IN = lambda ws: "(" + ", ".join(f"'{w}'" for w in ws) + ")"
+_KIND = f"CASE WHEN {{c}} IN {_IN(BUG_WORDS)} THEN 'bug' WHEN {{c}} IN {_IN(ACTION_WORDS)} THEN 'action' ELSE 'nl' END"
+
 ORACLE = {
     "p3_found": _P3 + "SELECT term, mark FROM res WHERE mark IS NOT NULL",
     "p3_term_frequencies": _P3 + "SELECT term, occurrences, records, mark FROM res",
     "p4_found": _P4 + "SELECT term_a, term_b FROM res WHERE npmi >= 0.4",
     "p4_pairs": _P4 + "SELECT term_a, term_b, df_a, df_b, together, round(npmi, 6) AS npmi, round(lift, 6) AS lift FROM res",
+    "p4_cooccurs": _P4
+    + f""", new AS (SELECT least(x, y) AS a, greatest(x, y) AS b, round(npmi, 6) AS npmi FROM (SELECT {_KIND.format(c="term_a")} || ':' || term_a AS x, {_KIND.format(c="term_b")} || ':' || term_b AS y, npmi FROM res WHERE npmi >= 0.15)),
+      old AS (SELECT least(a, b) AS a, greatest(a, b) AS b, max(npmi) AS npmi FROM cooccurs WHERE a <> b AND npmi BETWEEN -1 AND 1 AND NOT isnan(npmi) GROUP BY 1, 2)
+      SELECT new.a, new.b, new.npmi, round(old.npmi, 6) AS stale_npmi FROM new LEFT JOIN old ON old.a = new.a AND old.b = new.b""",
     "p6_found": _P6,
     "p8_found": _P8,
 }
