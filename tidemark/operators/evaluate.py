@@ -90,23 +90,23 @@ def online_decisions(df: DataFrame, seq: str, score: str, label: str, init: int
     score enters a checkpoint as one row of counts, and the checkpoints are tuned side by side.
     """
     last = df.agg(F.max(seq)).collect()[0][0]
-    ends = [i for i in range(step, (last if last is not None else -1) + 1, step) if i >= init and i - gap >= 2]
-    spark = df.sparkSession
-    points = spark.createDataFrame([(e, e - gap) for e in ends], "at long, upto long")
-    # counts per score and step of the stream, then running over the steps by the join with later checkpoints
+    if last is None:
+        return df.withColumn("threshold", F.lit(0.5)).withColumn("decision", F.lit(0))
+    first_end = -(-max(init, gap + 2, step) // step) * step
+    # counts per score and step of the stream; each goes into all later checkpoints
     slot = F.floor((F.col(seq) + gap) / step)
     per = df.select(seq, F.col(score).alias("s"), F.col(label).alias("y")).groupBy(slot.alias("slot"), "s").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("ones"))
-    known = F.broadcast(points).join(per, F.col("slot") * step < F.col("at")).groupBy("at", "s").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones"))
+    begin = F.greatest((F.col("slot") + 1) * step, F.lit(first_end).cast("long"))
+    known = per.where(begin <= last).withColumn("at", F.explode(F.sequence(begin, F.greatest(begin, F.lit(last).cast("long")), F.lit(step).cast("long"))))
+    known = known.groupBy("at", "s").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones"))
     w = W.partitionBy("at").orderBy(F.desc("s")).rowsBetween(W.unboundedPreceding, 0)
     whole = W.partitionBy("at")
     cut = known.withColumns({"pp": F.sum("n").over(w), "tp": F.sum("ones").over(w), "p": F.sum("ones").over(whole), "all": F.sum("n").over(whole)})
-    best = cut.where("p > 0 AND p < all").groupBy("at").agg(F.max(F.struct(safe(2 * F.col("tp"), F.col("pp") + F.col("p")).alias("f"), "s")).getField("s").alias("tuned"))
-    holds = [(r["at"], r["tuned"]) for r in best.orderBy("at").collect()]  # one row per checkpoint
-    lookup = spark.createDataFrame([(a // step, t) for a, t in holds] or [(-1, 0.5)], "slot_ long, tuned double")
-    w2 = W.orderBy("slot_").rowsBetween(W.unboundedPreceding, 0)
-    slots = spark.range(0, (last if last is not None else 0) // step + 1).withColumnRenamed("id", "slot_")
-    filled = slots.join(lookup, "slot_", "left").withColumn("threshold", F.coalesce(F.last("tuned", True).over(w2), F.lit(0.5))).select("slot_", "threshold")
-    out = df.withColumn("slot_", F.floor(F.col(seq) / step)).join(F.broadcast(filled), "slot_", "left").drop("slot_")
+    best = cut.where("p > 0 AND p < all").groupBy((F.col("at") / step).cast("long").alias("slot_")).agg(F.max(F.struct(safe(2 * F.col("tp"), F.col("pp") + F.col("p")).alias("f"), "s")).getField("s").alias("tuned"))
+    slots = df.sparkSession.range(0, last // step + 1).withColumnRenamed("id", "slot_").join(best, "slot_", "left")
+    held = F.when(F.col("tuned").isNotNull(), F.struct("slot_", "tuned"))
+    filled = strict_past(slots, [], "slot_", {"held": ("max", held)}, inclusive=True).select("slot_", F.coalesce("held.tuned", F.lit(0.5)).alias("threshold"))
+    out = df.withColumn("slot_", F.floor(F.col(seq) / step)).join(filled, "slot_", "left").drop("slot_")
     return out.withColumn("decision", (F.col(score) >= F.col("threshold")).cast("int"))
 
 

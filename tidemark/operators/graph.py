@@ -303,7 +303,7 @@ def train_distmult(triples: DataFrame, dim: int = 32, epochs: int = 10, negative
         drawn = t.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(negatives)))).withColumn("no", F.pmod(F.xxhash64("head", "rel", "tail", "k", F.lit(epoch + seed)), F.lit(n)))
         drawn = drawn.join(tails.withColumnRenamed("tail", "other"), "no").withColumn("tail", F.when(F.col("k") == 0, F.col("tail")).otherwise(F.col("other")))
         v = drawn.select("head", "rel", "tail", (F.col("k") == 0).cast("double").alias("want"))
-        v = v.join(ent.withColumnsRenamed({"entity": "head", "x": "h"}), "head").join(ent.withColumnsRenamed({"entity": "tail", "x": "o"}), "tail").join(F.broadcast(rel.withColumnRenamed("x", "r")), "rel")
+        v = v.join(ent.withColumnsRenamed({"entity": "head", "x": "h"}), "head").join(ent.withColumnsRenamed({"entity": "tail", "x": "o"}), "tail").join(rel.withColumnRenamed("x", "r"), "rel")
         score = F.aggregate(F.zip_with(times(F.col("h"), F.col("r")), F.col("o"), lambda p, q: p * q), F.lit(0.0), lambda a, x: a + x)
         v = v.withColumn("err", F.col("want") - 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), score)))))
         scaled = lambda a, b: F.transform(times(F.col(a), F.col(b)), lambda x: x * F.col("err"))
@@ -323,6 +323,6 @@ def fold_in(triples: DataFrame, entities: DataFrame, relations: DataFrame) -> Da
     from pyspark.ml.stat import Summarizer
 
     j = triples.select(F.col("head").cast("string").alias("head"), F.col("rel").cast("string").alias("rel"), F.col("tail").cast("string").alias("tail"))
-    j = j.join(entities.withColumnsRenamed({"entity": "tail", "x": "o"}), "tail").join(F.broadcast(relations.withColumnRenamed("x", "r")), "rel")
+    j = j.join(entities.withColumnsRenamed({"entity": "tail", "x": "o"}), "tail").join(relations.withColumnRenamed("x", "r"), "rel")
     j = j.select("head", array_to_vector(F.zip_with("o", "r", lambda p, q: p * q)).alias("v"))
     return j.groupBy("head").agg(vector_to_array(Summarizer.mean(F.col("v"))).alias("x"))

@@ -42,11 +42,7 @@ def describe(df: DataFrame, value: str, keys: list[str] | None = None) -> DataFr
         F.count("v_").alias("n"), F.avg("v_").alias("mean"), F.stddev_pop("v_").alias("std"), F.min("v_").alias("min"), F.max("v_").alias("max"),
         F.sum("v_").alias("sum"), F.expr("percentile(v_, 0.5)").alias("p50"), F.expr("percentile(v_, 0.95)").alias("p95"), F.skewness("v_").alias("skew"),
     )
-    below = W.partitionBy(*keys).orderBy("v_").rowsBetween(W.unboundedPreceding, -1) if keys else None
-    if keys:
-        ranked = per.withColumn("b_", F.coalesce(F.sum("c_").over(below), F.lit(0)))
-    else:
-        ranked = strict_past(with_sequence(per, ["v_"], "place_"), [], "place_", {"b_": ("sum", F.col("c_"))})
+    ranked = strict_past(with_sequence(per, [*keys, "v_"], "place_"), keys, "place_", {"b_": ("sum", F.col("c_"))})
     # the ranks of c equal values after b lesser ones add up to c * b + c (c + 1) / 2
     weighted = ranked.groupBy(*keys).agg(F.sum(F.col("v_") * (F.col("c_") * F.col("b_") + F.col("c_") * (F.col("c_") + 1) / 2)).alias("w_"))
     joined = moments.join(weighted, keys) if keys else moments.crossJoin(F.broadcast(weighted))  # one row each

@@ -120,10 +120,14 @@ def tier_summary(tier: DataFrame, events: DataFrame, states: DataFrame, m: float
     towards the global rate, the worst file's rate, ln(1 + mean changes), ln(1 + most changes), share of
     members with a past, ln(1 + mean age). Events with an empty tier have size 0 and the global rate.
     """
-    asks = tier.join(events.select("id", "seq", "ts"), "id")
-    past = states.withColumnsRenamed({"hub": "other", "seq": "seq_", "ts": "ts_"})
-    last = asks.join(past, "other", "left").where("seq_ IS NULL OR seq_ < seq").groupBy("id", "other", "ts").agg(F.max(F.struct("seq_", "n", "bad", "ts_")).alias("s"))
-    members = asks.select("id", "other", "ts").join(last.drop("ts"), ["id", "other"], "left")
+    # a tier holds no file that its event touches, so asking and state rows of a file never share a seq
+    asks = tier.select("id", "other").distinct().join(events.select("id", "seq", "ts"), "id")
+    none = F.lit(None)
+    state = states.select(F.col("hub").alias("other"), "seq", F.struct(F.col("seq").alias("seq_"), "n", "bad", F.col("ts").alias("ts_")).alias("st"))
+    both = state.select("other", "seq", "st", none.cast("string").alias("id"), none.cast("long").alias("ts")).unionByName(
+        asks.select("other", "seq", none.cast(state.schema["st"].dataType).alias("st"), F.col("id").cast("string").alias("id"), F.col("ts").cast("long").alias("ts"))
+    )
+    members = strict_past(both, ["other"], "seq", {"s": ("max", F.col("st"))}).where("id IS NOT NULL").withColumn("id", F.col("id").cast(events.schema["id"].dataType))
     n, bad = F.coalesce("s.n", F.lit(0)), F.coalesce("s.bad", F.lit(0))
     per = members.groupBy("id").agg(
         F.count(F.lit(1)).alias("k"), F.sum(n).alias("n"), F.sum(bad).alias("bad"), F.max(F.try_divide(bad, n)).alias("worst"),

@@ -107,10 +107,10 @@ def tier_union_difference(spark, d):
 
 
 def asof_file_state(spark, d):
-    """The commit that changed each file last before each commit (lag along the file)."""
+    """The commit that changed each file last before each commit."""
     _, hubs = hub_events(spark, d)
-    w = W.partitionBy("hub").orderBy("seq")
-    return hubs.select("id", "hub", F.lag("id").over(w).alias("previous_id"), (F.col("seq") - F.lag("seq").over(w)).alias("gap"))
+    last = past.strict_past(hubs, ["hub"], "seq", {"last": ("max", F.struct("seq", "id"))})
+    return last.select("id", "hub", F.col("last.id").alias("previous_id"), (F.col("seq") - F.col("last.seq")).alias("gap"))
 
 
 def asof_known_label(spark, d):
