@@ -15,7 +15,7 @@ from __future__ import annotations
 import heapq
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,7 +27,10 @@ GROUPS_PER_TASK = 4
 
 @dataclass
 class LoadPlan:
-    """Where rows go: ``named`` maps a key tuple to the tasks of its shards, ``groups`` a hash group to its task."""
+    """Where rows go: ``named`` maps a key tuple to the tasks of its shards, ``groups`` a hash group to its task.
+
+    Tasks are given by numbers that Spark's hash partitioning sends to one partition each.
+    """
 
     keys: list[str]
     tasks: int
@@ -78,7 +81,20 @@ def plan_load(df: DataFrame, keys: list[str], tasks: int | None = None) -> LoadP
             groups[group] = t
         else:
             named.setdefault(i, (key, []))[1].append(t)
-    return LoadPlan(keys, tasks, total, list(named.values()), groups, load)
+    number = task_numbers(df.sparkSession, tasks)
+    return LoadPlan(keys, tasks, total, [(k, [number[t] for t in at]) for k, at in named.values()], [number[t] for t in groups], load)
+
+
+def task_numbers(spark: SparkSession, tasks: int) -> list[int]:
+    """For each of ``tasks`` partitions an integer that hash partitioning sends there."""
+    found: dict[int, int] = {}
+    start, many = 0, 16 * tasks
+    while len(found) < tasks:
+        numbers = spark.range(start, start + many).select(F.col("id").cast("int").alias("i"))
+        for r in numbers.groupBy(F.pmod(F.hash("i"), F.lit(tasks)).alias("p")).agg(F.min("i").alias("i")).collect():
+            found.setdefault(r["p"], r["i"])
+        start += many
+    return [found[p] for p in range(tasks)]
 
 
 def _group(keys: list[str], n: int) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.asof import Events, Statements, known_at_event_time, seconds
 from tidemark.operators.changes import Base, Feed, apply_changes
-from tidemark.operators.skew import aggregate_balanced, join_fragmented
+from tidemark.operators.skew import aggregate_balanced, join_fragmented, plan_load
 from tidemark.session import table
 
 
@@ -110,23 +110,15 @@ def _by_key(spark: SparkSession, d: str) -> DataFrame:
     ).select("k.*", "node_id", "change_no", "delivery_id")
 
 
-def _key_counts(spark: SparkSession, d: str) -> DataFrame:
-    rows = _by_key(spark, d).select("key_kind", "key_value", "change_no", "delivery_id")
-    return aggregate_balanced(
-        rows, ["key_kind", "key_value"], {"n": F.count(F.lit(1))}, {"n_rows": F.sum("n")}, spread=["change_no", "delivery_id"]
-    )
-
-
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    """Keys with at least 2 percent of all rows. The rows of either kind add up to the whole table."""
-    counts = _key_counts(spark, d)
-    total = counts.where("key_kind = 'file'").agg(F.sum("n_rows").alias("total"))
-    return (
-        counts.where("key_value IS NOT NULL")
-        .crossJoin(F.broadcast(total))  # one row
-        .where(F.col("n_rows") * 50 >= F.col("total"))
-        .select("key_kind", "key_value")
+    """Keys with at least 2 percent of all rows. Each row counts once per kind of key, so half of the plan's total is the table's."""
+    rows = _by_key(spark, d).select("key_kind", "key_value", "change_no", "delivery_id")
+    plan = plan_load(rows, ["key_kind", "key_value"])
+    counts = aggregate_balanced(
+        rows, plan.keys, {"n": F.count(F.lit(1))}, {"n_rows": F.sum("n")}, spread=["change_no", "delivery_id"], plan=plan
     )
+    least = F.lit(plan.total // 2)
+    return counts.where(F.col("key_value").isNotNull() & (F.col("n_rows") * 50 >= least)).select("key_kind", "key_value")
 
 
 def p5_per_key(spark: SparkSession, d: str) -> DataFrame:
