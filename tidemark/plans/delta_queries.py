@@ -6,50 +6,79 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.operators import delta as dl
-from tidemark.operators.past import strict_past
+from tidemark.operators.past import strict_past, with_sequence
 from tidemark.plans.base import changes, sql
 from tidemark.plans.problems import _P2, p2_current_nodes
 from tidemark.session import table
 
 
+def _documents(spark, d):
+    """Documents of an issue key: its versions, in order of doc_id."""
+    return table(spark, d, "documents").where("text IS NOT NULL AND issue_key IS NOT NULL").select("issue_key", "doc_id", "text")
+
+
+def _words(docs):
+    """Words of versions as nodes (key, version, word, place)."""
+    ws = docs.select("issue_key", "doc_id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{2,}"), F.lit(0)).alias("ws"))
+    return ws.select("issue_key", "doc_id", F.posexplode("ws").alias("place", "word"))
+
+
 def _versions(spark, d):
-    """Documents of an issue key as versions of one file: words as nodes (key, version, word, place)."""
-    docs = table(spark, d, "documents").where("text IS NOT NULL AND issue_key IS NOT NULL").select("issue_key", "doc_id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{2,}"), F.lit(0)).alias("ws"))
-    return docs.select("issue_key", "doc_id", F.posexplode("ws").alias("place", "word"))
+    """Documents of an issue key as versions of one file."""
+    return _words(_documents(spark, d))
+
+
+def _steps(docs):
+    """Every version of an issue key that has one before it: issue_key, doc_id, before_doc, and the step's number.
+
+    Neighbours come from positions in one sort and are joined by them, so no task holds the versions of a hot key.
+    """
+    order = with_sequence(docs.select("issue_key", "doc_id").distinct(), ["issue_key", "doc_id"], "step")
+    before = order.select("issue_key", (F.col("step") + 1).alias("step"), F.col("doc_id").alias("before_doc"))
+    return order.join(before, ["issue_key", "step"])
+
+
+def _sides(docs, steps, columns):
+    """Documents of each step before and after it, with ``columns`` of the step in place of their doc_id."""
+    side = lambda at: docs.join(steps.select("issue_key", F.col(at).alias("doc_id"), *[F.col(c).alias(f"{c}_") for c in columns]), ["issue_key", "doc_id"]).select("issue_key", *[F.col(f"{c}_").alias(c) for c in columns], "text")
+    return side("before_doc"), side("doc_id")
 
 
 def _pair(spark, d):
-    """First and second version of every issue key."""
-    v = _versions(spark, d)
-    rank = v.select("issue_key", "doc_id").distinct().withColumn("v", F.row_number().over(W.partitionBy("issue_key").orderBy("doc_id")))
-    v = v.join(rank.where("v <= 2"), ["issue_key", "doc_id"]).select("issue_key", "v", F.col("place").alias("node"), F.substring("word", 1, 2).alias("ast_type"), F.col("word").alias("value"))
-    both = rank.groupBy("issue_key").agg(F.max("v").alias("m")).where("m >= 2").select("issue_key")
-    v = v.join(both, "issue_key", "left_semi")
-    return v.where("v = 1").drop("v"), v.where("v = 2").drop("v")
+    """Nodes of every version and of the version before it, both under the later one's doc_id."""
+    docs = _documents(spark, d).where(F.lower("text").rlike("[a-z]{2,}"))
+    nodes = lambda side: _words(side).select("issue_key", "doc_id", F.col("place").alias("node"), F.substring("word", 1, 2).alias("ast_type"), F.col("word").alias("value"))
+    before, after = _sides(docs, _steps(docs), ["doc_id"])
+    return nodes(before), nodes(after)
+
+
+def _matched(a, b):
+    return dl.ordinal_match(a, b, ["issue_key", "doc_id", "ast_type"], ["node"])
 
 
 def ordinal_match(spark, d):
     a, b = _pair(spark, d)
-    out = dl.ordinal_match(a, b, ["issue_key", "ast_type"], ["node"])
-    return out.select("issue_key", "ast_type", F.col("ordinal").cast("long").alias("ordinal"), F.col("before_id").cast("long").alias("before_id"), F.col("after_id").cast("long").alias("after_id"), "op")
+    return _matched(a, b).select("issue_key", "doc_id", "ast_type", F.col("ordinal").cast("long").alias("ordinal"), F.col("before_id").cast("long").alias("before_id"), F.col("after_id").cast("long").alias("after_id"), "op")
 
 
 def delta_ops(spark, d):
     a, b = _pair(spark, d)
-    return dl.ordinal_match(a, b, ["issue_key", "ast_type"], ["node"]).groupBy("issue_key", "op").agg(F.count(F.lit(1)).alias("n"))
+    return _matched(a, b).groupBy("issue_key", "doc_id", "op").agg(F.count(F.lit(1)).alias("n"))
 
 
 def delta_conservation(spark, d):
-    """matched + deleted = before and matched + inserted = after, per key: no row where it holds."""
+    """matched + deleted = before and matched + inserted = after: keys, and steps of theirs where it does not hold."""
     a, b = _pair(spark, d)
-    m = dl.ordinal_match(a, b, ["issue_key", "ast_type"], ["node"]).groupBy("issue_key").agg(F.count("before_id").alias("nb"), F.count("after_id").alias("na"))
-    n = a.groupBy("issue_key").agg(F.count(F.lit(1)).alias("b")).join(b.groupBy("issue_key").agg(F.count(F.lit(1)).alias("a")), "issue_key", "full_outer")
-    return m.join(n, "issue_key").agg(F.count(F.lit(1)).alias("n_keys"), F.count_if((F.col("nb") != F.coalesce("b", F.lit(0))) | (F.col("na") != F.coalesce("a", F.lit(0)))).alias("n_wrong"))
+    step = ["issue_key", "doc_id"]
+    m = _matched(a, b).groupBy(*step).agg(F.count("before_id").alias("nb"), F.count("after_id").alias("na"))
+    n = a.groupBy(*step).agg(F.count(F.lit(1)).alias("b")).join(b.groupBy(*step).agg(F.count(F.lit(1)).alias("a")), step, "full_outer")
+    per = n.join(m, step, "left").groupBy("issue_key").agg(F.count_if(~F.col("nb").eqNullSafe(F.coalesce("b", F.lit(0))) | ~F.col("na").eqNullSafe(F.coalesce("a", F.lit(0)))).alias("wrong"))
+    return per.agg(F.count(F.lit(1)).alias("n_keys"), F.coalesce(F.sum("wrong"), F.lit(0)).cast("long").alias("n_wrong"))
 
 
 def multiset_delta(spark, d):
     a, b = _pair(spark, d)
-    return dl.multiset_delta(a, b, ["issue_key", "ast_type"]).where("delta <> 0")
+    return dl.multiset_delta(a, b, ["issue_key", "doc_id", "ast_type"]).where("delta <> 0")
 
 
 def successive_deltas(spark, d):
@@ -109,11 +138,12 @@ def late_changes(spark, d):
 
 
 def subtree_diff(spark, d):
-    """Line trees of two versions matched by subtree hash."""
-    docs = table(spark, d, "documents").where("text IS NOT NULL AND issue_key IS NOT NULL")
-    ranked = docs.withColumn("v", F.row_number().over(W.partitionBy("issue_key").orderBy("doc_id"))).where("v <= 2").select("issue_key", "v", "text")
-    build = lambda v: dl.line_graph(ranked.where(f"v = {v}"), "issue_key", "text")
-    return dl.subtree_match(build(1), build(2), "issue_key").groupBy("issue_key", "how").agg(F.count(F.lit(1)).alias("n"))
+    """Line trees of every version and the version before it, matched by subtree hash."""
+    docs = _documents(spark, d)
+    steps = _steps(docs)
+    before, after = (dl.line_graph(side, "step", "text") for side in _sides(docs, steps, ["step"]))
+    counted = dl.subtree_match(before, after, "step").groupBy("step", "how").agg(F.count(F.lit(1)).alias("n"))
+    return counted.join(steps, "step").select("issue_key", "doc_id", "how", "n")
 
 
 QUERIES = {
