@@ -31,9 +31,9 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_term_frequencies(spark, d).where("mark IS NOT NULL").select("term", "mark")
 
 
-def _pairs(spark: SparkSession, d: str) -> DataFrame:
+def _pairs(spark: SparkSession, d: str, least_records: int = 3, least_together: int = 3) -> DataFrame:
     words = F.transform(F.regexp_extract_all("message", F.lit(TERM), F.lit(0)), F.lower)
-    return pairs_together(_commits(spark, d, ["message"]).select("commit_id", words.alias("terms")), "commit_id", "terms")
+    return pairs_together(_commits(spark, d, ["message"]).select("commit_id", words.alias("terms")), "commit_id", "terms", least_records, least_together)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -41,14 +41,18 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return _pairs(spark, d).select(
+    """Every pair of terms, also those of one commit; the limits of 3 are p4_found's."""
+    return _pairs(spark, d, 1, 1).select(
         "term_a", "term_b", "df_a", "df_b", "together", F.round("npmi", 6).alias("npmi"), F.round("lift", 6).alias("lift")
     )
 
 
 def p4_cooccurs(spark: SparkSession, d: str) -> DataFrame:
-    """Rows for the stored co-occurrence table, with the stored value they take the place of (null where none is valid)."""
-    pairs = _pairs(spark, d).where("npmi >= 0.15")
+    """Rows for the stored co-occurrence table, with the stored value they take the place of (null where none is valid).
+
+    The study's limits: terms of 3 commits, pairs of 2.
+    """
+    pairs = _pairs(spark, d, 3, 2).where("npmi >= 0.15")
     id_of = lambda c: F.concat_ws(":", kind_of_word(F.col(c)), c)
     old = table(spark, d, "cooccurs").where("a <> b AND npmi BETWEEN -1 AND 1 AND NOT isnan(npmi)")
     old = old.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("npmi").alias("stale_npmi"))
