@@ -443,13 +443,25 @@ def build_graphs(files: DataFrame, key: str = "file", text: str = "text", layers
 
 
 def build_calls(files: DataFrame, key: str = "file", text: str = "text") -> DataFrame:
-    """``key, cls, method, name``: one row per call of ``name`` in a method."""
-    schema = f"`{key}` {files.schema[key].dataType.simpleString()}, cls string, method string, name string"
+    """``key, cls, method, line, name``: one row per call of ``name`` in a method, which begins at ``line``."""
+    schema = f"`{key}` {files.schema[key].dataType.simpleString()}, cls string, method string, line long, name string"
 
     def build(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            rows = [(k, m.cls, m.name, c) for k, t in zip(part[key], part[text]) for m in methods(t or "") for s in Graphs(m).nodes for c in calls(s.tokens)]
-            yield pd.DataFrame(rows, columns=[key, "cls", "method", "name"])
+            rows = [(k, m.cls, m.name, m.line, c) for k, t in zip(part[key], part[text]) for m in methods(t or "") for s in Graphs(m).nodes for c in calls(s.tokens)]
+            yield pd.DataFrame(rows, columns=[key, "cls", "method", "line", "name"])
+
+    return files.select(key, text).mapInPandas(build, schema)
+
+
+def build_methods(files: DataFrame, key: str = "file", text: str = "text") -> DataFrame:
+    """``key, cls, method, line``: one row per method that a text defines; not ``<top>``."""
+    schema = f"`{key}` {files.schema[key].dataType.simpleString()}, cls string, method string, line long"
+
+    def build(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = [(k, m.cls, m.name, m.line) for k, t in zip(part[key], part[text]) for m in methods(t or "") if m.name != "<top>"]
+            yield pd.DataFrame(rows, columns=[key, "cls", "method", "line"])
 
     return files.select(key, text).mapInPandas(build, schema)
 
