@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import HEAD_TOKENS
 from tidemark.operators import past, tiers
 from tidemark.operators.asof import Events, Statements, known_at_event_time
 from tidemark.operators.changes import op_name
@@ -77,13 +78,13 @@ def package_siblings(spark, d):
 
 def cochange_topk(spark, d):
     _, hubs = hub_events(spark, d)
-    return tiers.cochange_tier(hubs, 5)
+    return tiers.cochange_tier(hubs)
 
 
 def capped_tier_lists(spark, d):
     _, hubs = hub_events(spark, d)
     t = tiers.import_tiers(hubs, _imports(spark, d)).where("tier = 'T1'")
-    out = tiers.capped_lists(t, 10)
+    out = tiers.capped_lists(t)
     return out.select("id", F.array_join("members", ";").alias("members"))
 
 
@@ -279,9 +280,9 @@ def block_slice(spark, d):
 
 
 def head_tokens(spark, d):
-    """The first 40 tokens of each message."""
+    """The first HEAD_TOKENS tokens of each message."""
     words = F.regexp_extract_all(F.lower("message"), F.lit("[a-z]{2,}"), F.lit(0))
-    return commits(spark, d, ["message"]).where("message IS NOT NULL").select("commit_id", F.array_join(F.slice(words, 1, 40), " ").alias("head"))
+    return commits(spark, d, ["message"]).where("message IS NOT NULL").select("commit_id", F.array_join(F.slice(words, 1, HEAD_TOKENS), " ").alias("head"))
 
 
 def top_tokens(spark, d):

@@ -175,10 +175,10 @@ def stored_terms_refreshed(spark, d):
 
 
 def jitline_vocab(spark, d):
-    """The 200 most frequent typed tokens of the first PAST events, by (-df, token)."""
+    """The 2,000 most frequent typed tokens of the first PAST events, by (-df, token)."""
     docs = _docs(spark, d).where(f"seq < {PAST}")
     t = docs.select("id", F.explode(F.array_distinct(F.transform("toks", lambda t: F.concat_ws(":", t["kind"], t["term"])))).alias("token"))
-    return t.groupBy("token").agg(F.count(F.lit(1)).alias("df")).orderBy(F.desc("df"), "token").limit(200)
+    return t.groupBy("token").agg(F.count(F.lit(1)).alias("df")).orderBy(F.desc("df"), "token").limit(2000)
 
 
 def vocab_encode(spark, d):
