@@ -92,7 +92,7 @@ def fusion_power_set(spark, d):
 
 
 def final_config(spark, d):
-    """Score, expanding z-scores of metrics and degrees, fused by an L1 head; the most confident 80 percent."""
+    """Score, expanding z-scores of la and ent, fused by an L1 head; the most confident 80 percent."""
     s = _scores(spark, d).select("id", "s")
     m = _metrics(spark, d).join(s, "id")
     for c in ("la", "ent"):
