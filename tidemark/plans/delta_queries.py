@@ -154,18 +154,21 @@ QUERIES = {
     )
 }
 
+# Versions of an issue key (vr), each step from a version to the next one (st), the nodes before and after it (a, b) and their match (om).
 _V = """vr AS (SELECT issue_key, doc_id, i - 1 AS node, ws[i] AS word, dense_rank() OVER (PARTITION BY issue_key ORDER BY doc_id) AS v FROM (
   SELECT issue_key, doc_id, regexp_extract_all(lower(text), '[a-z]{2,}') AS ws FROM documents WHERE text IS NOT NULL AND issue_key IS NOT NULL), LATERAL (SELECT unnest(range(1, len(ws) + 1)) AS i)),
-a AS (SELECT issue_key, word[1:2] AS ast_type, node, word, row_number() OVER (PARTITION BY issue_key, word[1:2] ORDER BY node) - 1 AS ordinal FROM vr WHERE v = 1 AND issue_key IN (SELECT issue_key FROM vr WHERE v = 2)),
-b AS (SELECT issue_key, word[1:2] AS ast_type, node, word, row_number() OVER (PARTITION BY issue_key, word[1:2] ORDER BY node) - 1 AS ordinal FROM vr WHERE v = 2),
-om AS (SELECT issue_key, ast_type, ordinal, a.node AS before_id, b.node AS after_id, CASE WHEN a.node IS NULL THEN 'ADDS' WHEN b.node IS NULL THEN 'REMOVES' WHEN a.word = b.word THEN 'KEEP' ELSE 'UPDATES' END AS op
-  FROM a FULL JOIN b USING (issue_key, ast_type, ordinal))"""
+nr AS (SELECT issue_key, v, word[1:2] AS ast_type, node, word, row_number() OVER (PARTITION BY issue_key, v, word[1:2] ORDER BY node) - 1 AS ordinal FROM vr),
+st AS (SELECT issue_key, v, doc_id FROM (SELECT DISTINCT issue_key, v, doc_id FROM vr) WHERE v > 1),
+a AS (SELECT st.issue_key, st.doc_id, ast_type, ordinal, node, word FROM st JOIN nr ON nr.issue_key = st.issue_key AND nr.v = st.v - 1),
+b AS (SELECT st.issue_key, st.doc_id, ast_type, ordinal, node, word FROM st JOIN nr ON nr.issue_key = st.issue_key AND nr.v = st.v),
+om AS (SELECT issue_key, doc_id, ast_type, ordinal, a.node AS before_id, b.node AS after_id, CASE WHEN a.node IS NULL THEN 'ADDS' WHEN b.node IS NULL THEN 'REMOVES' WHEN a.word = b.word THEN 'KEEP' ELSE 'UPDATES' END AS op
+  FROM a FULL JOIN b USING (issue_key, doc_id, ast_type, ordinal))"""
 
 ORACLE = {
     "ordinal_match": sql("SELECT * FROM om", _V),
-    "delta_ops": sql("SELECT issue_key, op, count(*) AS n FROM om GROUP BY issue_key, op", _V),
+    "delta_ops": sql("SELECT issue_key, doc_id, op, count(*) AS n FROM om GROUP BY ALL", _V),
     "delta_conservation": sql("SELECT count(DISTINCT issue_key) AS n_keys, 0::BIGINT AS n_wrong FROM om", _V),
-    "multiset_delta": sql("SELECT * FROM (SELECT issue_key, ast_type, sum(n)::BIGINT AS delta FROM (SELECT issue_key, ast_type, 1 AS n FROM b UNION ALL SELECT issue_key, ast_type, -1 FROM a) GROUP BY ALL) WHERE delta <> 0", _V),
+    "multiset_delta": sql("SELECT * FROM (SELECT issue_key, doc_id, ast_type, sum(n)::BIGINT AS delta FROM (SELECT issue_key, doc_id, ast_type, 1 AS n FROM b UNION ALL SELECT issue_key, doc_id, ast_type, -1 FROM a) GROUP BY ALL) WHERE delta <> 0", _V),
     "successive_deltas": sql("SELECT * FROM (SELECT issue_key, doc_id, word, sum(n)::BIGINT AS delta FROM (SELECT issue_key, doc_id, word, 1 AS n FROM vr UNION ALL SELECT x.issue_key, z.doc_id, x.word, -1 FROM vr x JOIN (SELECT DISTINCT issue_key, doc_id, v FROM vr) z ON z.issue_key = x.issue_key AND z.v = x.v + 1) GROUP BY ALL) WHERE delta <> 0", _V),
     "delta_tokens": sql("SELECT op || ':' || ast_type AS token, count(*) AS n, count(DISTINCT commit_id) AS commits FROM chg WHERE ast_type IS NOT NULL GROUP BY 1"),
     "soft_delete_state": sql("SELECT node_id, commit_id AS removed_by, change_no FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY change_no DESC) AS k FROM chg WHERE node_id IS NOT NULL AND op IN ('ADDS', 'REMOVES')) WHERE k = 1 AND op = 'REMOVES'"),

@@ -351,8 +351,8 @@ ORACLE = {
     "cochange_topk": sql("""SELECT DISTINCT r.id, r.b AS other FROM (
       SELECT h.id, h.hub AS a, p.b, row_number() OVER (PARTITION BY h.id, h.hub ORDER BY count(*) DESC, p.b) AS k FROM hub h
       JOIN (SELECT x.hub AS a, z.hub AS b, x.seq FROM hub x JOIN hub z ON z.id = x.id AND z.hub <> x.hub) p ON p.a = h.hub AND p.seq < h.seq GROUP BY h.id, h.hub, p.b) r
-      WHERE k <= 5 AND NOT EXISTS (SELECT 1 FROM hub o WHERE o.id = r.id AND o.hub = r.b)"""),
-    "capped_tier_lists": sql("SELECT id, array_to_string(list_sort(list(other))[1:10], ';') AS members FROM t1 GROUP BY id", _CALLS, _T),
+      WHERE k <= 25 AND NOT EXISTS (SELECT 1 FROM hub o WHERE o.id = r.id AND o.hub = r.b)"""),
+    "capped_tier_lists": sql("SELECT id, array_to_string(list_sort(list(other))[1:400], ';') AS members FROM t1 GROUP BY id", _CALLS, _T),
     "tier_summary": sql("""SELECT ev.id, round(ln(1 + coalesce(k, 0)), 5) AS size, round(CASE WHEN n > 0 THEN (bad + 2 * g) / (n + 2) ELSE g END, 5) AS density,
       round(CASE WHEN k > 0 THEN coalesce(worst, g) ELSE 0 END, 5) AS worst, round(ln(1 + coalesce(n / k, 0)), 5) AS churn, round(ln(1 + coalesce(most, 0)), 5) AS most, round(coalesce(seen, 0), 5) AS seen, round(ln(1 + coalesce(q.age, 0)), 5) AS age
       FROM gp ev LEFT JOIN (SELECT id, count(*) AS k, sum(n) AS n, sum(bad) AS bad, max(CASE WHEN n > 0 THEN bad / n END) AS worst, max(n) AS most, avg((n > 0)::INT) AS seen, avg(age) AS age FROM (
@@ -386,7 +386,7 @@ ORACLE = {
     "chronological_head": sql("SELECT seq, id, ts FROM ev WHERE seq < 100"),
     "systematic_sample": sql("SELECT id, seq, round(('0x' || md5(id)[1:8])::BIGINT / 4294967296.0, 9) AS h FROM ev WHERE seq % 7 = 0 ORDER BY h, id LIMIT 20"),
     "block_slice": sql("SELECT seq, id, y FROM ev WHERE seq BETWEEN 200 AND 399"),
-    "head_tokens": sql("SELECT commit_id, array_to_string(regexp_extract_all(lower(message), '[a-z]{2,}')[1:40], ' ') AS head FROM held WHERE message IS NOT NULL"),
+    "head_tokens": sql("SELECT commit_id, array_to_string(regexp_extract_all(lower(message), '[a-z]{2,}')[1:4000], ' ') AS head FROM held WHERE message IS NOT NULL"),
     "top_tokens": sql("SELECT token, sum(n)::BIGINT AS n FROM tok GROUP BY token ORDER BY n DESC, token LIMIT 12", _TOK),
     "distinct_items_per_event": sql("SELECT commit_id, array_to_string(list_sort(list_distinct(l)), ';') AS files, len(l) AS n_listed FROM (SELECT commit_id, list_concat(list_concat(coalesce(files_added_list, []), coalesce(files_modified_list, [])), coalesce(files_deleted_list, [])) AS l FROM held)"),
     "ops_of_changes": "SELECT op, count(*) AS n, CASE upper(trim(op)) WHEN 'ADDS' THEN 'INSERT' WHEN 'UPDATES' THEN 'UPDATE' WHEN 'REMOVES' THEN 'DELETE' WHEN 'MOVES' THEN 'MOVE' END AS meaning FROM ast_changes GROUP BY op",

@@ -284,7 +284,7 @@ ORACLE = {
     "typed_mass": sql("SELECT dc.id, round(coalesce(prior, (SELECT g FROM gr)), 6) AS prior, " + ", ".join(f"round(coalesce(m_{k}, 0), 6) AS mass_{k}" for k in tx.KINDS) + " FROM dc LEFT JOIN (SELECT id, sum(idf * risk) / sum(idf) AS prior, " + ", ".join(f"sum(CASE WHEN kind = '{k}' THEN idf ELSE 0 END) AS m_{k}" for k in tx.KINDS) + f" FROM (SELECT et.id, vc.idf, k0.risk, {_KIND.replace('term', 'et.term')} AS kind FROM et JOIN vc USING (term) JOIN k0 ON k0.term = et.term) GROUP BY id) q ON q.id = dc.id", _DOCS, _VOC, _npmi("et", 0.15), _prop("et", 0, 0.6)),
     "online_text_prior": sql("SELECT dc.id, round(coalesce(avg(coalesce(k2.risk, (SELECT g FROM gr))) FILTER (tm.term IS NOT NULL), (SELECT g FROM gr)), 6) AS prior FROM dc LEFT JOIN tm ON tm.id = dc.id LEFT JOIN k2 ON k2.term = tm.term WHERE dc.seq >= 300 AND dc.seq < 400 GROUP BY dc.id", _DOCS, _VOC, _npmi("tm", 0.3), _prop("tm", 2, 0.5)),
     "stored_terms_refreshed": sql("SELECT t.id, count(DISTINCT tk.commit_id) AS df FROM (SELECT DISTINCT id, text FROM terms) t LEFT JOIN tk ON tk.term = t.text GROUP BY t.id, t.text", _TK),
-    "jitline_vocab": sql(f"SELECT {_KIND} || ':' || term AS token, count(*) AS df FROM tm WHERE seq < 300 GROUP BY term ORDER BY df DESC, token LIMIT 200", _DOCS, _VOC),
+    "jitline_vocab": sql(f"SELECT {_KIND} || ':' || term AS token, count(*) AS df FROM tm WHERE seq < 300 GROUP BY term ORDER BY df DESC, token LIMIT 2000", _DOCS, _VOC),
     "vocab_encode": sql("SELECT id, array_to_string(list_concat(list_transform(ts[1:16], lambda t: coalesce(m[t], 1)), list_transform(range(16), lambda x: 0))[1:16], ' ') AS ids FROM dc, (SELECT map(list(w), list(k)) AS m FROM vo)", _DOCS, "vo AS (SELECT w, row_number() OVER (ORDER BY count(*) DESC, w) + 1 AS k FROM (SELECT unnest(ts) AS w FROM dc) GROUP BY w ORDER BY count(*) DESC, w LIMIT 98)"),
     "offset_positions": "SELECT doc_id, length(b) - length(replace(b, chr(10), '')) + 1 AS line, length(string_split(b, chr(10))[-1]) AS col FROM (SELECT doc_id, text[1:length(text) // 2] AS b FROM documents WHERE text IS NOT NULL)",
     "short_names": "SELECT DISTINCT value, value[1:8] AS short FROM ast_nodes WHERE value IS NOT NULL",
