@@ -23,59 +23,62 @@ from pyspark.sql import functions as F
 OUT = "term string, occurrences long, records long, first_record string, last_record string"
 
 
-def tokens(texts: pa.Array, low: str = "a-z", least: int = 2) -> tuple[pa.Array, np.ndarray]:
-    """Lower-cased runs of at least ``least`` ASCII letters, and the row each comes from."""
-    parts = pc.split_pattern_regex(pc.ascii_lower(texts), pattern=f"[^{low}]+")
-    words, rows = pc.list_flatten(parts), pc.list_parent_indices(parts)
-    long = pc.greater_equal(pc.binary_length(words), least)
-    return words.filter(long), rows.filter(long).to_numpy(zero_copy_only=False)
+class Counters:
+    """Occurrences, records, first and last record of every term of a partition, by number of the term."""
+
+    def __init__(self) -> None:
+        self.number: dict[str, int] = {}
+        self.occurrences = self.records = self.first = self.last = np.zeros(0, dtype=np.int64)
+
+    def codes(self, terms: list[str]) -> np.ndarray:
+        """Numbers of ``terms``; new ones get room in the counters."""
+        number = self.number
+        out = np.array([number.setdefault(t, len(number)) for t in terms], dtype=np.int64)
+        if len(number) > len(self.last):
+            room = np.zeros(max(len(number), 2 * len(self.last)) - len(self.last), dtype=np.int64)
+            self.occurrences, self.records = np.r_[self.occurrences, room], np.r_[self.records, room]
+            self.first, self.last = np.r_[self.first, room - 1], np.r_[self.last, room - 1]
+        return out
+
+    def see(self, terms: np.ndarray, record: int) -> None:
+        """Tokens of one record. A term last seen in another record than this one is in one record more."""
+        np.add.at(self.occurrences, terms, 1)
+        new = terms[self.last[terms] != record]
+        self.records[new] += 1  # an index that is repeated counts once
+        self.last[new] = record
+        fresh = new[self.first[new] < 0]
+        self.first[fresh] = record
+
+    def rows(self, names: list[str]) -> pa.RecordBatch:
+        n = len(self.number)
+        name = pa.array(names, pa.string())
+        columns = [pa.array(list(self.number), pa.string()), pa.array(self.occurrences[:n]), pa.array(self.records[:n]), name.take(pa.array(self.first[:n])), name.take(pa.array(self.last[:n]))]
+        return pa.record_batch(columns, names=["term", "occurrences", "records", "first_record", "last_record"])
 
 
 def last_seen_counters(batches: Iterator[pa.RecordBatch], flush_terms: int) -> Iterator[pa.RecordBatch]:
-    """Counters of one partition whose rows are (record, text...) in order of record."""
-    counters: dict[str, list] = {}
+    """Counters of one partition whose rows are (record, text) in order of record."""
+    counters, names = Counters(), []
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        record = pc.fill_null(batch.column(0), "")
-        change = np.ones(batch.num_rows, dtype=np.int64)
-        change[1:] = pc.not_equal(record[1:], record[:-1]).to_numpy(zero_copy_only=False)
-        ordinal = np.cumsum(change) - 1
-        names = record.filter(pa.array(change.astype(bool))).to_pylist()
-        found = [tokens(batch.column(i)) for i in range(1, batch.num_columns)]
-        words = pa.chunked_array([w for w, _ in found], pa.string()).combine_chunks().dictionary_encode()
-        ids = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        if not len(ids):
-            continue
-        n = len(names)
-        seen = np.sort(ids * n + np.concatenate([ordinal[r] for _, r in found]))
-        new = np.ones(len(seen), dtype=bool)
-        new[1:] = seen[1:] != seen[:-1]
-        visits = seen[new]  # one for each term and record, by term, then record
-        term_of = visits // n
-        starts = np.flatnonzero(np.r_[True, term_of[1:] != term_of[:-1]])
-        ends = np.r_[starts[1:], len(visits)]
-        terms = words.dictionary.to_pylist()
-        occurrences = np.bincount(ids, minlength=len(terms))
-        for t, k, lo, hi in zip(term_of[starts].tolist(), (ends - starts).tolist(), (visits[starts] % n).tolist(), (visits[ends - 1] % n).tolist()):
-            c = counters.get(terms[t])
-            if c is None:
-                counters[terms[t]] = [int(occurrences[t]), k, names[lo], names[hi]]
-            else:
-                c[0] += int(occurrences[t])
-                c[1] += k - (c[3] == names[lo])
-                c[3] = names[hi]
-        if len(counters) > flush_terms:
-            yield _rows(counters)
-            counters = {}
-    if counters:
-        yield _rows(counters)
-
-
-def _rows(counters: dict[str, list]) -> pa.RecordBatch:
-    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-    columns = zip(*[(t, *c) for t, c in counters.items()])
-    return pa.record_batch([pa.array(x, k) for x, k in zip(columns, kinds)], names=["term", "occurrences", "records", "first_record", "last_record"])
+        records = pc.fill_null(batch.column(0), "").to_pylist()
+        words = pc.list_flatten(parts := pc.split_pattern_regex(pc.ascii_lower(pc.fill_null(batch.column(1), "")), pattern="[^a-z]+"))
+        rows = pc.list_parent_indices(parts)
+        long = pc.greater_equal(pc.binary_length(words), 2)
+        words, rows = words.filter(long).dictionary_encode(), rows.filter(long).to_numpy(zero_copy_only=False)
+        codes = counters.codes(words.dictionary.to_pylist())[words.indices.to_numpy(zero_copy_only=False)]
+        ends = np.searchsorted(rows, np.arange(len(records)), side="right").tolist()
+        start = 0
+        for record, end in zip(records, ends):
+            if not names or names[-1] != record:
+                names.append(record)
+            if end > start:
+                counters.see(codes[start:end], len(names) - 1)
+            start = end
+        if len(counters.number) > flush_terms or len(names) > flush_terms:
+            yield counters.rows(names)
+            counters, names = Counters(), []
+    if counters.number:
+        yield counters.rows(names)
 
 
 def term_frequencies(
@@ -86,17 +89,19 @@ def term_frequencies(
     A term is a longest run of two or more letters A-Z, a-z, lower-cased. ``unique`` says that each
     non-null record is one row; otherwise rows are put in order of record by ranges, which cut a record
     with very many rows. Null and empty texts have no terms; rows without record, and those whose record is
-    the empty string, are one record. An empty table gives no row. ``flush_terms`` bounds the counters that
-    a task holds: beyond it they are passed on and started again, without loss.
+    the empty string, are one record. An empty table gives no row. ``flush_terms`` bounds the counters and
+    the record names that a task holds: beyond it they are passed on and started again, without loss.
     """
-    rows = records.select(F.col(record).cast("string").alias("record"), *[F.col(t).alias(f"text_{i}") for i, t in enumerate(texts)])
+    # a line end between two texts of a row keeps their words apart
+    rows = records.select(F.col(record).cast("string").alias("record"), F.concat_ws("\n", *[F.col(t) for t in texts]).alias("text"))
     if not unique:
         rows = rows.withColumn("record", F.coalesce("record", F.lit("")))
         rows = rows.withColumn("spread", F.xxhash64(*rows.columns)).repartitionByRange("record", "spread").sortWithinPartitions("record").drop("spread")
     counted = rows.mapInArrow(lambda batches: last_seen_counters(batches, flush_terms), OUT)
-    ordered = W.partitionBy("term").orderBy("first_record", "last_record")
-    again = F.coalesce((F.lag("last_record").over(ordered) == F.col("first_record")).cast("long"), F.lit(0))
-    counted = counted.withColumn("records", F.col("records") - again)
+    if not unique:  # a record on one row is in one counter only
+        ordered = W.partitionBy("term").orderBy("first_record", "last_record")
+        again = F.coalesce((F.lag("last_record").over(ordered) == F.col("first_record")).cast("long"), F.lit(0))
+        counted = counted.withColumn("records", F.col("records") - again)
     return counted.groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
 
 

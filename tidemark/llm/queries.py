@@ -127,16 +127,19 @@ cnt AS (SELECT term, count(*) AS occurrences, count(DISTINCT commit_id) AS recor
 res AS (SELECT *, CASE WHEN records < 3 THEN 'rare' WHEN records > 0.3 * (SELECT count(*) FROM held) THEN 'common' END AS mark FROM cnt)
 """
 
-_P4 = _HELD + """
-tok AS (SELECT DISTINCT commit_id, lower(unnest(regexp_extract_all(message, '[A-Za-z]{2,}'))) AS term FROM held),
-freq AS (SELECT term, count(*) AS df FROM tok GROUP BY term HAVING count(*) >= 3),
+
+def _p4(least_records: int, least_together: int) -> str:
+    return _HELD + f"""
+tok AS (SELECT DISTINCT commit_id, lower(unnest(regexp_extract_all(message, '[A-Za-z]{{2,}}'))) AS term FROM held),
+freq AS (SELECT term, count(*) AS df FROM tok GROUP BY term HAVING count(*) >= {least_records}),
 kept AS (SELECT commit_id, term, df FROM tok JOIN freq USING (term)),
 pair AS (SELECT a.term AS term_a, b.term AS term_b, any_value(a.df) AS df_a, any_value(b.df) AS df_b, count(*) AS together
-  FROM kept a JOIN kept b ON a.commit_id = b.commit_id AND a.term < b.term GROUP BY a.term, b.term HAVING count(*) >= 3),
+  FROM kept a JOIN kept b ON a.commit_id = b.commit_id AND a.term < b.term GROUP BY a.term, b.term HAVING count(*) >= {least_together}),
 scored AS (SELECT *, (SELECT count(*) FROM held)::DOUBLE AS n FROM pair),
 res AS (SELECT *, CASE WHEN together = n THEN 1.0 ELSE ln(together * n / (df_a * df_b)) / -ln(together / n) END AS npmi, together * n / (df_a * df_b) AS lift FROM scored)
 """
 
+
 # Words of every item and document by place; a passage is a run of equal places' distance.
 _P6 = """
 WITH w AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS ws FROM eval_items),
@@ -161,9 +164,9 @@ _KIND = f"CASE WHEN {{c}} IN {_IN(BUG_WORDS)} THEN 'bug' WHEN {{c}} IN {_IN(ACTI
 ORACLE = {
     "p3_found": _P3 + "SELECT term, mark FROM res WHERE mark IS NOT NULL",
     "p3_term_frequencies": _P3 + "SELECT term, occurrences, records, mark FROM res",
-    "p4_found": _P4 + "SELECT term_a, term_b FROM res WHERE npmi >= 0.4",
-    "p4_pairs": _P4 + "SELECT term_a, term_b, df_a, df_b, together, round(npmi, 6) AS npmi, round(lift, 6) AS lift FROM res",
-    "p4_cooccurs": _P4
+    "p4_found": _p4(3, 3) + "SELECT term_a, term_b FROM res WHERE npmi >= 0.4",
+    "p4_pairs": _p4(1, 1) + "SELECT term_a, term_b, df_a, df_b, together, round(npmi, 6) AS npmi, round(lift, 6) AS lift FROM res",
+    "p4_cooccurs": _p4(3, 2)
     + f""", new AS (SELECT least(x, y) AS a, greatest(x, y) AS b, round(npmi, 6) AS npmi FROM (SELECT {_KIND.format(c="term_a")} || ':' || term_a AS x, {_KIND.format(c="term_b")} || ':' || term_b AS y, npmi FROM res WHERE npmi >= 0.15)),
       old AS (SELECT least(a, b) AS a, greatest(a, b) AS b, max(npmi) AS npmi FROM cooccurs WHERE a <> b AND npmi BETWEEN -1 AND 1 AND NOT isnan(npmi) GROUP BY 1, 2)
       SELECT new.a, new.b, new.npmi, round(old.npmi, 6) AS stale_npmi FROM new LEFT JOIN old ON old.a = new.a AND old.b = new.b""",
