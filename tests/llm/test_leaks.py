@@ -55,7 +55,7 @@ def test_matching_lengths():
     subs = {tuple(w.split()[i:j]) for _, w in items for i in range(12) for j in range(i + 1, 13)}
     doc = [rng.choice("abcd") for _ in range(200)]
     codes = [automaton.vocabulary.get(w, -1) for w in doc]
-    for i, (_, length) in enumerate(automaton.stream(codes)):
+    for i, (_, length) in enumerate(automaton.packed().stream(codes)):
         want = next(k for k in range(min(i + 1, 12), -1, -1) if k == 0 or tuple(doc[i + 1 - k : i + 1]) in subs)
         assert length == want
     assert len(automaton.step) <= 2 * 60
@@ -71,6 +71,23 @@ def test_clean_text(spark):
     assert got[4]["clean_text"] is None and not got[4]["dropped"]
 
 
+def test_text_keeps_its_case_where_lower_casing_changes_its_length(spark):
+    items = [(1, "one two three", 0), (2, "i\u0307 x y", 0)]
+    docs = [(1, "\u0130 Keep My CASE one TWO three \u0130nd", 0, ""), (2, "A \u0130 X\u0130 \u03a3 one two three Z", 0, "")]
+    got = {r["doc_id"]: r["clean_text"] for r in remove_leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS), min_words=3, coverage_limit=0.7).collect()}
+    assert got == {1: "\u0130 Keep My CASE  \u0130nd", 2: "A \u0130 X\u0130 \u03a3  Z"}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_several_passes_equal_one(spark, seed):
+    docs, items = random_case(seed)
+    docs, items = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)
+    out = [{tuple(r) for r in remove_leaks(docs, items, min_words=3, words_per_automaton=w, automata_per_pass=k).collect()} for w, k in ((1_000_000, 8), (9, 1), (9, 2))]
+    assert out[0] == out[1] == out[2] and any(r[2] for r in out[0])
+    found = [{tuple(r) for r in find_leaks(docs, items, min_words=3, words_per_automaton=w, automata_per_pass=k).collect()} for w, k in ((1_000_000, 8), (9, 2))]
+    assert found[0] == found[1]
+
+
 def test_empty(spark):
     docs, items = spark.createDataFrame([], DOCS), spark.createDataFrame([], ITEMS)
     assert find_leaks(docs, items).collect() == []

@@ -140,13 +140,30 @@ res AS (SELECT *, CASE WHEN together = n THEN 1.0 ELSE ln(together * n / (df_a *
 """
 
 
-# Words of every item and document by place; a passage is a run of equal places' distance.
+# Words of every item and document by place; a passage of 13 words is the gram at its first place.
 _P6 = """
 WITH w AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS ws FROM eval_items),
-dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS ws FROM documents),
-ig AS (SELECT DISTINCT item_id, list_aggregate(ws[i:i + 12], 'string_agg', ' ') AS gram FROM (SELECT item_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w)),
-dg AS (SELECT DISTINCT doc_id, list_aggregate(ws[i:i + 12], 'string_agg', ' ') AS gram FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM dw))
-SELECT DISTINCT item_id, doc_id FROM ig JOIN dg USING (gram)
+dw AS (SELECT doc_id, text, regexp_extract_all(lower(text), '[a-z0-9]+') AS ws FROM documents),
+ig AS (SELECT item_id, i, list_aggregate(ws[i:i + 12], 'string_agg', ' ') AS gram FROM (SELECT item_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w)),
+dg AS (SELECT doc_id, i, list_aggregate(ws[i:i + 12], 'string_agg', ' ') AS gram FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM dw)),
+hit AS (SELECT item_id, doc_id, dg.i, ig.i AS j FROM ig JOIN dg USING (gram)),
+step AS (SELECT item_id, doc_id, i - coalesce(lag(i) OVER (PARTITION BY item_id, doc_id ORDER BY i), -99) AS gap FROM (SELECT DISTINCT item_id, doc_id, i FROM hit))
+"""
+
+# A document's leaked words are those of its hits; runs of them are spans, and the text is put together from the pieces outside.
+_P6_CLEAN = _P6 + """,
+word AS (SELECT DISTINCT doc_id, i + k AS p FROM (SELECT DISTINCT doc_id, i FROM hit), range(13) r(k)),
+span AS (SELECT doc_id, min(p) AS lo, max(p) AS hi FROM (SELECT doc_id, p, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS run FROM word) GROUP BY doc_id, run),
+total AS (SELECT doc_id, sum(hi - lo + 1)::BIGINT AS leaked_words, count(*) AS n_spans FROM span GROUP BY doc_id),
+longest AS (SELECT doc_id, max(n) + 12 AS longest FROM (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, item_id, i - j AS d, i - row_number() OVER (PARTITION BY doc_id, item_id, i - j ORDER BY i) AS run FROM hit) GROUP BY doc_id, item_id, d, run) GROUP BY doc_id),
+piece AS (SELECT doc_id, text, k, ps[k] AS piece, list_sum(list_transform(ps[1:k - 1], lambda x: length(x)))::BIGINT AS before, regexp_matches(ps[k], '^[a-z0-9]') AS is_word
+  FROM (SELECT doc_id, text, regexp_extract_all(lower(text), '[a-z0-9]+|[^a-z0-9]+') AS ps FROM dw WHERE doc_id IN (SELECT doc_id FROM total)), LATERAL (SELECT unnest(range(1, len(ps) + 1)) AS k)),
+placed AS (SELECT *, substring(text, coalesce(before, 0) + 1, length(piece)) AS own, count(*) FILTER (is_word) OVER (PARTITION BY doc_id ORDER BY k) AS p FROM piece),
+clean AS (SELECT doc_id, coalesce(string_agg(own, '' ORDER BY k), '') AS clean_text FROM placed a
+  WHERE NOT EXISTS (SELECT 1 FROM span s WHERE s.doc_id = a.doc_id AND a.p >= s.lo AND (a.p < s.hi OR (a.p = s.hi AND a.is_word))) GROUP BY doc_id)
+SELECT dw.doc_id, CASE WHEN t.doc_id IS NOT NULL THEN len(ws) END AS doc_words, coalesce(leaked_words, 0) AS leaked_words, coalesce(longest, 0) AS longest, coalesce(n_spans, 0) AS n_spans,
+  CASE WHEN t.doc_id IS NULL THEN dw.text WHEN leaked_words * 2 <= len(ws) THEN coalesce(clean_text, '') END AS clean_text, coalesce(leaked_words * 2 > len(ws), false) AS dropped
+FROM dw LEFT JOIN total t USING (doc_id) LEFT JOIN longest USING (doc_id) LEFT JOIN clean USING (doc_id)
 """
 
 _P8 = r"""
@@ -170,6 +187,8 @@ ORACLE = {
     + f""", new AS (SELECT least(x, y) AS a, greatest(x, y) AS b, round(npmi, 6) AS npmi FROM (SELECT {_KIND.format(c="term_a")} || ':' || term_a AS x, {_KIND.format(c="term_b")} || ':' || term_b AS y, npmi FROM res WHERE npmi >= 0.15)),
       old AS (SELECT least(a, b) AS a, greatest(a, b) AS b, max(npmi) AS npmi FROM cooccurs WHERE a <> b AND npmi BETWEEN -1 AND 1 AND NOT isnan(npmi) GROUP BY 1, 2)
       SELECT new.a, new.b, new.npmi, round(old.npmi, 6) AS stale_npmi FROM new LEFT JOIN old ON old.a = new.a AND old.b = new.b""",
-    "p6_found": _P6,
+    "p6_found": _P6 + "SELECT DISTINCT item_id, doc_id FROM hit",
+    "p6_leaks": _P6 + "SELECT item_id, doc_id, sum(least(13, gap))::BIGINT AS covered_words, any_value(len(ws)) AS doc_words FROM step JOIN dw USING (doc_id) GROUP BY item_id, doc_id",
+    "p6_clean_documents": _P6_CLEAN,
     "p8_found": _P8,
 }
