@@ -1,9 +1,10 @@
+import math
 import os
 import random
 
 import pytest
 
-from tidemark.llm.mixture import TOKENIZER, _encoding, mix, source_name, solve, token_counts
+from tidemark.llm.mixture import TOKENIZER, _encoding, mix, source_name, solve, token_counts, with_rates
 
 pytestmark = pytest.mark.skipif(not os.path.exists(TOKENIZER), reason="no tokenizer files")
 DOCS = "doc_id long, text string, source string, lang string, n_tokens string, copies int"
@@ -38,17 +39,61 @@ def test_shares_and_caps(spark):
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, rows))
 
 
-def test_multipliers_meet_margins(spark):
+@pytest.mark.parametrize("per_token", [False, True])
+def test_multipliers_meet_margins(spark, per_token):
     counted = token_counts(corpus(spark), ["doc_id", "source", "lang"], "text").withColumn("source", source_name("source"))
-    plan = solve(counted, [("big", 0.6, 2), ("mid", 0.4, 3)], {"lang": {"en": 0.7, "de": 0.3}}, total_tokens=6000)
-    import math
-
+    plan = solve(counted, [("big", 0.6, 2), ("mid", 0.4, 3)], {"lang": {"en": 0.7, "de": 0.3}}, 6000, per_token)
     got = {"big": 0.0, "mid": 0.0, "en": 0.0, "de": 0.0}
     for r in counted.where("source IN ('big', 'mid')").collect():
-        rate = min(plan.cap[r["source"]], math.exp(plan.multipliers["source", r["source"]] + plan.multipliers.get(("lang", r["lang"]), 0.0)))
+        e = plan.multipliers["source", r["source"]] + plan.multipliers["lang", r["lang"]]
+        rate = min(plan.cap[r["source"]], math.exp(e if per_token else e * r["n_tokens"]))
         got[r["source"]] += rate * r["n_tokens"]
         got[r["lang"]] += rate * r["n_tokens"]
     assert got == pytest.approx({"big": 3600, "mid": 2400, "en": 4200, "de": 1800}, rel=1e-6)
+    assert 0 < plan.iterations < 60 and plan.gradient <= 1e-9
+
+
+def test_rates_have_the_least_entropy(spark):
+    """No other rates with the same tokens are nearer to one copy each."""
+    counted = spark.createDataFrame([(i, "s", n) for i, n in enumerate([1, 2, 3, 5, 8, 40])], "doc_id long, source string, n_tokens long")
+    plan = solve(counted, [("s", 1.0, 3)], total_tokens=90)
+    rates = {r["doc_id"]: (r["n_tokens"], r["rate"]) for r in with_rates(counted, plan).collect()}
+    entropy = lambda rs: sum(r * math.log(r) - r for r in rs if r > 0)
+    own = [rates[i][1] for i in range(6)]
+    assert sum(n * r for n, r in rates.values()) == pytest.approx(90) and max(own) <= 3 * (1 + 1e-12)
+    rng = random.Random(1)
+    for _ in range(300):
+        a, b = rng.sample(range(6), 2)
+        move = rng.uniform(-1, 1)
+        other = list(own)
+        other[a] += move / rates[a][0]
+        other[b] -= move / rates[b][0]
+        if min(other) >= 0 and max(other) <= 3:
+            assert entropy(other) >= entropy(own) - 1e-6
+
+
+def test_what_cannot_be_met_raises(spark):
+    counted = spark.createDataFrame([(i, "s", 10, "ab"[i % 2]) for i in range(20)], "doc_id long, source string, n_tokens long, lang string")
+    with pytest.raises(ValueError, match="200 at most"):
+        solve(counted, [("s", 1.0, 1)], total_tokens=1000)
+    with pytest.raises(ValueError, match="lang = a"):
+        solve(counted, [("s", 1.0, 1)], {"lang": {"a": 0.9, "b": 0.1}}, total_tokens=150)
+
+
+def test_very_many_sources(spark):
+    n = 4000
+    docs = spark.range(2 * n).selectExpr("id AS doc_id", "'some words of text' AS text", "concat('s', id % 4000) AS source")
+    targets = spark.range(n).selectExpr("concat('s', id) AS source", "1.0D AS target_share", "2 AS max_repeats")
+    mixed, report = mix(docs, targets)
+    assert mixed.count() == 2 * n and {r["copies"] for r in mixed.collect()} == {2}
+    assert report.where("reached_tokens = wanted_tokens").count() == n
+
+
+def test_a_source_that_is_used_up(spark):
+    """The default total uses every document of one source as often as it may be, the shortest too."""
+    mixed, report = mix(corpus(spark), spark.createDataFrame([("small_one", 0.9, 5), ("big", 0.1, 1)], TARGETS))
+    rows = [r for r in mixed.collect() if r["source"] == "small_one" and r["n_tokens"]]
+    assert {r["copies"] for r in rows} == {5}
 
 
 def test_token_counts_are_those_of_the_tokenizer(spark):

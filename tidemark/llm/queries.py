@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import ACTION_WORDS, BUG_WORDS, kind_of_word
 from tidemark.llm.frequency import term_frequencies, with_marks
 from tidemark.llm.leaks import find_leaks, remove_leaks
 from tidemark.llm.levels import band, level_profile, reading_levels, train
-from tidemark.llm.mixture import mix
+from tidemark.llm.mixture import listed_sources, mix, mix_counted, source_name, token_counts
 from tidemark.llm.together import pairs_together
 from tidemark.operators.latest import latest_rows
-from tidemark.session import table
+from tidemark.session import durable, table
 
 TERM = "[A-Za-z]{2,}"
 
@@ -81,6 +82,41 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
+def p7_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """Per listed source: its documents, and whether each came out once, under the cap, without copies of empty texts, and the tokens wanted
+    were reached within the source's longest document and one percent."""
+    mixed, report = mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    per = mixed.groupBy("source").agg(F.count_distinct("doc_id").alias("ids"), F.count_if((F.col("n_tokens") == 0) & (F.col("copies") > 0)).alias("empty"))
+    off = F.abs(F.col("reached_tokens") - F.coalesce("wanted_tokens", F.lit(0.0)))
+    return report.join(per, "source", "left").select(
+        "source", "n_docs", (F.coalesce("ids", F.lit(0)) == F.col("n_docs")).alias("each_once"), (F.col("most_copies") <= F.col("max_repeats")).alias("under_cap"),
+        (F.coalesce("empty", F.lit(0)) == 0).alias("none_empty"), (off <= F.col("longest") + 0.01 * F.coalesce("wanted_tokens", F.lit(0.0))).alias("reached"), (F.col("gradient") <= 1e-9).alias("solved"),
+    )
+
+
+def p7_margins(spark: SparkSession, d: str) -> DataFrame:
+    """A mix of a fifth of the greatest size whose languages move a fifth of the way from the shares there are to equal ones.
+
+    Per language the share wanted, and the share of the rates, which meet it but for the tolerance.
+    """
+    listed = listed_sources(table(spark, d, "mix_targets"))
+    rows = table(spark, d, "documents").select("doc_id", source_name(F.col("source")).alias("source"), F.lower(F.substring(F.trim("lang"), 1, 2)).alias("lang"), "text")
+    counted = durable(token_counts(rows.where("lang IS NOT NULL AND text <> ''"), ["doc_id", "source", "lang"], "text"))
+    caps = spark.createDataFrame([(s, x, c) for s, x, c in listed], "source string, share double, cap int")
+    per = counted.join(F.broadcast(caps), "source").groupBy("source", "lang").agg(F.sum("n_tokens").alias("n"), F.max("share").alias("share"))
+    # each source's languages by its wanted share; a language is a margin if it has tokens
+    now = per.withColumn("part", F.col("share") * F.col("n") / F.sum("n").over(W.partitionBy("source"))).groupBy("lang").agg(F.sum("part").alias("part")).orderBy("lang").collect()
+    whole = sum(r["part"] for r in now)
+    wanted = {r["lang"]: 0.8 * r["part"] / whole + 0.2 / len(now) for r in now}
+    mixed, _ = mix_counted(counted, listed, {"lang": wanted}, fill=0.2)
+    goals = spark.createDataFrame(list(wanted.items()), "lang string, wanted double")
+    rated = mixed.groupBy("lang").agg(F.sum(F.col("rate") * F.col("n_tokens")).alias("r"), F.sum(F.col("copies") * F.col("n_tokens")).alias("reached_tokens"))
+    total = rated.agg(F.sum("r").alias("all_r"), F.sum("reached_tokens").alias("all_c"))
+    return rated.crossJoin(F.broadcast(total)).join(goals, "lang", "left").select(  # one row
+        "lang", F.round("wanted", 6).alias("wanted_share"), F.round(F.col("r") / F.col("all_r"), 6).alias("rate_share"), F.round(F.col("reached_tokens") / F.col("all_c"), 6).alias("reached_share")
+    )
+
+
 def _levels(spark: SparkSession, d: str, documents: DataFrame) -> DataFrame:
     model = train(table(spark, d, "documents"), table(spark, d, "level_labels"))
     return reading_levels(documents, model, keep=("lang", "source"))
@@ -112,6 +148,8 @@ QUERIES = {
     "p6_clean_documents": p6_clean_documents,
     "p7_mix": p7_mix,
     "p7_report": p7_report,
+    "p7_invariants": p7_invariants,
+    "p7_margins": p7_margins,
     "p8_found": p8_found,
     "p8_levels": p8_levels,
     "p8_profile": p8_profile,
@@ -190,5 +228,9 @@ ORACLE = {
     "p6_found": _P6 + "SELECT DISTINCT item_id, doc_id FROM hit",
     "p6_leaks": _P6 + "SELECT item_id, doc_id, sum(least(13, gap))::BIGINT AS covered_words, any_value(len(ws)) AS doc_words FROM step JOIN dw USING (doc_id) GROUP BY item_id, doc_id",
     "p6_clean_documents": _P6_CLEAN,
+    "p7_invariants": r"""
+      WITH t AS (SELECT DISTINCT regexp_replace(lower(trim(source)), '[\s-]+', '_', 'g') AS source FROM mix_targets WHERE source IS NOT NULL),
+      d AS (SELECT regexp_replace(lower(trim(source)), '[\s-]+', '_', 'g') AS source, count(*) AS n FROM documents GROUP BY 1)
+      SELECT t.source, coalesce(d.n, 0) AS n_docs, true AS each_once, true AS under_cap, true AS none_empty, true AS reached, true AS solved FROM t LEFT JOIN d USING (source)""",
     "p8_found": _P8,
 }
