@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from tidemark.operators.changes import Base, Feed, apply_changes
+from tidemark.operators.changes import Base, Feed, apply_changes, base_state, current_rows, fold_changes, settle
 
 FB = Base("id", "file", "alive", {"value": "value"}, {"kind": "kind"})
 FF = Feed("no", "delivery", "op", "node", "file", {"value": "new"}, {"kind": "kind"})
@@ -40,9 +40,7 @@ def state_of(spark, base, feed, **kw):
     return {r["key"]: (r["value"], r["kind"], r["set_by"]) for r in df.collect() if r["alive"]}
 
 
-@pytest.mark.parametrize("rows_per_shard", [1_000_000, 25])
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_replay_in_any_order_of_arrival(spark, seed, rows_per_shard):
+def random_feed(seed):
     rng = random.Random(seed)
     nodes = [f"f{f}::n{n}" for f in range(3) for n in range(6)] + ["f0::hot"] * 12
     base = [(n, n.split("::")[0], rng.choice([True, False, None]), f"b{n}", "base", 1) for n in sorted(set(nodes))[:9]]
@@ -56,9 +54,43 @@ def test_replay_in_any_order_of_arrival(spark, seed, rows_per_shard):
             feed.append((no, (no or 0) * 10 + delivery, op, node, rng.choice([file, file, None]) if node else file, f"v{no}.{delivery}", rng.choice(["a", None]), "s"))
     feed += feed[:20]
     rng.shuffle(feed)
+    return base, feed
+
+
+@pytest.mark.parametrize("rows_per_shard", [1_000_000, 25])
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_replay_in_any_order_of_arrival(spark, seed, rows_per_shard):
+    base, feed = random_feed(seed)
     assert state_of(spark, base, feed, rows_per_shard=rows_per_shard) == replay(base, feed)
 
 
+def rows_of(df):
+    return {r["key"]: (r["value"], r["kind"], r["set_by"]) for r in df.collect() if r["alive"]}
+
+
+@pytest.mark.parametrize("seed,n_parts", [(4, 1), (5, 2), (6, 4), (7, 5)])
+def test_a_feed_in_parts_in_any_order(spark, seed, n_parts):
+    """Also with deliveries of one change in different parts, and facts settled in between."""
+    base, feed = random_feed(seed)
+    rng = random.Random(seed)
+    parts = [[] for _ in range(n_parts)]
+    for row in feed:
+        rng.choice(parts).append(row)
+    state = base_state(spark.createDataFrame(base, BASE), FB)
+    for p in parts:
+        state = fold_changes(spark.createDataFrame(p, FEED), FF, state)
+    names = ["value"], ["kind"]
+    assert rows_of(current_rows(state, *names)) == replay(base, feed)
+    # everything up to 120 has come; the rest comes in any order, with late copies of what is settled
+    early, late = [r for r in feed if (r[0] or 0) <= 120], [r for r in feed if (r[0] or 0) > 120]
+    cut = rng.randrange(len(late))
+    state = fold_changes(spark.createDataFrame(early + late[:cut], FEED), FF, base_state(spark.createDataFrame(base, BASE), FB))
+    state = settle(state, 120, *names)
+    assert state.where("settled").count() == len({r["key"] for r in state.where("settled").collect()})
+    state = fold_changes(spark.createDataFrame(late[cut:] + early[:30], FEED), FF, state, 120)
+    assert rows_of(current_rows(state, *names)) == replay(base, feed)
+
+
 def test_late_change_before_a_tombstone_stays_without_effect(spark):
     feed = [(2, 1, "REMOVES", "f::a", "f", None, None, ""), (1, 2, "ADDS", "f::a", "f", "v", "k", "")]
     assert state_of(spark, [], feed) == {}

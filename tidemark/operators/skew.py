@@ -197,10 +197,14 @@ def join_fragmented(
     return place(left, plan, task, spread).join(copied, [task, *keys], how).drop(task)
 
 
-def hot_keys(df: DataFrame, keys: list[str], rows_per_shard: int) -> list[tuple[tuple, int]]:
-    """Keys with more than ``rows_per_shard`` rows and the shards they need; at most rows / rows_per_shard keys."""
-    found = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("load_")).where(F.col("load_") > rows_per_shard)
-    return [(tuple(r[k] for k in keys), -(-r["load_"] // rows_per_shard)) for r in found.collect()]
+def hot_keys(df: DataFrame, keys: list[str], rows_per_shard: int, most: int = 10_000) -> list[tuple[tuple, int]]:
+    """Keys with more than ``rows_per_shard`` rows and the shards they need, the ``most`` largest.
+
+    What is left out has less than 1 / ``most`` of all rows, so it holds up no task and the list stays bounded.
+    """
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("load_")).where(F.col("load_") > rows_per_shard)
+    found = counted.orderBy(F.desc("load_"), *keys).limit(most).collect()
+    return [(tuple(r[k] for k in keys), -(-r["load_"] // rows_per_shard)) for r in found]
 
 
 def join_salted(
@@ -214,7 +218,7 @@ def join_salted(
     """Equi-join by hash in which the keys of ``hot`` are cut into shards and their matches copied to each.
 
     The cheap form of :func:`join_fragmented` where even load of the other keys is left to hashing. The
-    table of hot keys is broadcast; ``hot_keys`` bounds it by rows / rows_per_shard.
+    table of hot keys is broadcast; ``hot_keys`` bounds it.
     """
     if not hot:
         return left.join(right, keys, how)

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.asof import Events, Statements, known_at_event_time, seconds
-from tidemark.operators.changes import Base, Feed, apply_changes
+from tidemark.operators.changes import Base, Feed, apply_changes, base_state, current_rows, fold_changes, settle
 from tidemark.operators.skew import aggregate_balanced, join_fragmented, plan_load
-from tidemark.session import table
+from tidemark.session import durable, table
 
 
 def _labels_known(spark: SparkSession, d: str, payload: tuple[str, ...]) -> DataFrame:
@@ -60,13 +60,11 @@ _AST_FEED = Feed("change_no", "delivery_id", "op", "node_id", "file", {"value":
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    bare = lambda x: type(x)(**{**x.__dict__, "payload": {}, "fixed": {}})
-    state = apply_changes(table(spark, d, "ast_nodes"), table(spark, d, "ast_changes"), bare(_AST_BASE), bare(_AST_FEED))
+    state = apply_changes(table(spark, d, "ast_nodes"), table(spark, d, "ast_changes"), _AST_BASE, _AST_FEED)
     return state.select(F.col("key").alias("node_id"), F.col("set_by").alias("delivery_id"))
 
 
-def p2_current_nodes(spark: SparkSession, d: str) -> DataFrame:
-    state = apply_changes(table(spark, d, "ast_nodes"), table(spark, d, "ast_changes"), _AST_BASE, _AST_FEED, tombstones=True)
+def _nodes(state: DataFrame) -> DataFrame:
     return state.select(
         F.col("key").alias("node_id"), F.col("grp").alias("file"), "value", "ast_type",
         F.col("is_delta").cast("int").cast("long").alias("is_delta"),
@@ -74,6 +72,28 @@ def p2_current_nodes(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p2_current_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return _nodes(apply_changes(table(spark, d, "ast_nodes"), table(spark, d, "ast_changes"), _AST_BASE, _AST_FEED, tombstones=True))
+
+
+def p2_in_parts(spark: SparkSession, d: str) -> DataFrame:
+    """The nodes after a feed that came in three parts, each folded into the written state of those before.
+
+    Deliveries go to parts by their number, so changes come late and in several parts. What lies below the first half
+    of the numbers is settled once two parts are there that have all of it.
+    """
+    feed = table(spark, d, "ast_changes")
+    names = list(_AST_FEED.payload), list(_AST_FEED.fixed)
+    half = (feed.agg(F.max("change_no")).collect()[0][0] or 0) // 2
+    early = F.col("change_no") <= half
+    part = F.pmod("delivery_id", F.lit(3))
+    parts = [feed.where((part == 0) | (early & (part == 2))), feed.where((part == 1) & (early | (F.col("change_no") % 2 == 0))), feed.where(~early & ((part == 2) | ((part == 1) & (F.col("change_no") % 2 != 0))))]
+    state = durable(fold_changes(parts[0], _AST_FEED, base_state(table(spark, d, "ast_nodes"), _AST_BASE)))
+    state = durable(fold_changes(parts[1], _AST_FEED, state))
+    state = durable(settle(state, half, *names))
+    return _nodes(current_rows(fold_changes(parts[2], _AST_FEED, state, half), *names, tombstones=True))
+
+
 # The definition as a fold in order of change_no: per node the last removal, then the first ADDS after it.
 _P2 = """
 WITH once AS (
@@ -96,6 +116,10 @@ final AS (SELECT node_id, last(delivery_id ORDER BY seq) AS delivery_id, last(ne
 """
 
 
+_P2_NODES = _P2 + """SELECT n.node_id, coalesce(f.file, n.file) AS file, f.value, f.ast_type, f.is_delta::INT::BIGINT AS is_delta,
+  (f.node_id IS NOT NULL)::INT::BIGINT AS alive FROM nodes n LEFT JOIN final f USING (node_id)"""
+
+
 def _by_key(spark: SparkSession, d: str) -> DataFrame:
     """ast_changes once per kind of key, with the columns that the per-key results need."""
     changes = table(spark, d, "ast_changes").select("file", "commit_id", "node_id", "change_no", "delivery_id")
@@ -146,6 +170,7 @@ QUERIES = {
     "p1_labels_at_reads": p1_labels_at_reads,
     "p2_found": p2_found,
     "p2_current_nodes": p2_current_nodes,
+    "p2_in_parts": p2_in_parts,
     "p5_found": p5_found,
     "p5_per_key": p5_per_key,
     "p5_depth_against_file": p5_depth_against_file,
@@ -158,9 +183,8 @@ ORACLE = {
       CASE WHEN lower(trim(buggy)) IN ('true', '1') THEN 1 WHEN lower(trim(buggy)) IN ('false', '0') THEN 0 END::BIGINT AS buggy,
       read_at - known_at AS seconds_known FROM j WHERE n = 1""",
     "p2_found": _P2 + "SELECT node_id, delivery_id FROM final",
-    "p2_current_nodes": _P2
-    + """SELECT n.node_id, coalesce(f.file, n.file) AS file, f.value, f.ast_type, f.is_delta::INT::BIGINT AS is_delta,
-      (f.node_id IS NOT NULL)::INT::BIGINT AS alive FROM nodes n LEFT JOIN final f USING (node_id)""",
+    "p2_current_nodes": _P2_NODES,
+    "p2_in_parts": _P2_NODES,
     "p5_found": """
       SELECT 'file' AS key_kind, file AS key_value FROM ast_changes WHERE file IS NOT NULL GROUP BY file
         HAVING count(*) * 50 >= (SELECT count(*) FROM ast_changes)
