@@ -59,3 +59,15 @@ def test_payload_named_like_a_key(spark):
     said = spark.createDataFrame([("a", 0, 0, 1, "known", 0)], ST_SCHEMA)
     got = known_at_event_time(events, said, Events("who", "at", ("id", "value")), ST).collect()[0]
     assert (got["value"], got["value_known"]) == ("own", "known")
+
+
+def test_an_entity_of_many_more_rows_than_a_bucket(spark):
+    """A third of 120,000 statements and of the events belong to one entity, others are large or small."""
+    n = 120_000
+    who = F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 30 == 1, "warm").otherwise(F.concat(F.lit("e"), F.col("id") % 5000))
+    said = spark.range(n).select(who.alias("who"), (F.col("id") * 7919 % 10_007).alias("valid_from"), (F.col("id") * 104_729 % 10_009).alias("known_at"), F.col("id").alias("rev"), F.lit("v").alias("value"))
+    events = spark.range(1500).select("id", who.alias("who"), (F.col("id") * 613 % 11_000).alias("at"), F.lit("c").alias("value"))
+    got = known_at_event_time(events, said, EV, ST, 5_000)
+    j = events.alias("x").join(said.alias("y"), F.expr("x.who = y.who AND y.valid_from <= x.at AND y.known_at <= x.at"), "left")
+    want = j.groupBy("x.id").agg(F.max(F.struct("y.valid_from", "y.known_at", "y.rev")).getField("rev").alias("want"))
+    assert got.join(want, "id").where(~F.col("rev").eqNullSafe(F.col("want"))).count() == 0 and got.count() == 1500

@@ -7,10 +7,10 @@ column), are its current-state versions; an event takes the last version availab
 
 Entities are hash-partitioned into buckets; in each bucket an embedded DuckDB builds the versions and
 runs ``ASOF LEFT JOIN``. Statements of equal availability are reduced to the best one before any row is
-shuffled (tie resolution). An entity with more than ``rows_per_bucket`` statements is cut into slices of
-availability, each of which starts with the best statement of all earlier slices; a slice that more
-than ``rows_per_bucket`` events fall into is copied to several shards of these events. So no bucket
-depends on the size of one entity.
+shuffled (tie resolution). The rows of an entity with more than ``rows_per_bucket`` statements and events are
+sorted by time, statements before events of the same time, and cut into slices of that many rows; each slice starts
+with the best statement of all earlier ones. So no bucket depends on the size of one entity, and nothing about
+entities is collected or broadcast.
 """
 
 from __future__ import annotations
@@ -20,11 +20,13 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tidemark.session import fresh, parallelism
+from tidemark.operators.past import with_sequence
+from tidemark.session import durable, fresh, parallelism
 
 LOWEST = -(2**63)
 
@@ -98,22 +100,18 @@ def known_at_event_time(
     s = s.groupBy("e", "a").agg(F.max("cur").alias("cur"))
 
     load = (
-        s.select("e", F.lit(1).alias("n_s"), F.lit(0).alias("n_e"))
-        .unionByName(e.where("e IS NOT NULL").select("e", F.lit(0).alias("n_s"), F.lit(1).alias("n_e")))
-        .groupBy("e").agg(F.sum("n_s").alias("n_s"), F.sum("n_e").alias("n_e"))
+        s.select("e", F.lit(1).alias("n"))
+        .unionByName(e.where("e IS NOT NULL").select("e", F.lit(1).alias("n")))
+        .groupBy("e").agg(F.sum("n").alias("n"))
     )
-    hot = F.greatest("n_s", "n_e") > rows_per_bucket
-    rows = load.groupBy(F.when(hot, F.col("e")).alias("e")).agg(F.sum("n_s").alias("n_s"), F.sum("n_e").alias("n_e")).collect()
-    n_rows = sum(r["n_s"] + r["n_e"] for r in rows)
-    buckets = max(parallelism(spark), math.ceil(2 * n_rows / rows_per_bucket))
-    big = [(r["e"], r["n_s"]) for r in rows if r["e"] is not None]
-
-    if big:
-        e, s = _sliced(e, s, big, rows_per_bucket)
+    large = F.col("n") > rows_per_bucket
+    sizes = load.agg(F.sum("n").alias("n"), F.count_if(large).alias("large")).collect()[0]
+    buckets = max(parallelism(spark), math.ceil(2 * (sizes["n"] or 0) / rows_per_bucket))
+    if sizes["large"]:
+        e, s = _sliced(e, s, durable(load.where(large).select("e")), list(key_of), rows_per_bucket)
     else:
-        e = e.withColumns({"s": F.lit(0), "h": F.lit(0)})
-        s = s.withColumns({"s": F.lit(0), "h": F.lit(0)})
-    bucket = F.pmod(F.xxhash64("e", "s", "h"), F.lit(buckets)).cast("int")
+        e, s = e.withColumn("s", F.lit(0).cast("long")), s.withColumn("s", F.lit(0).cast("long"))
+    bucket = F.pmod(F.xxhash64("e", "s"), F.lit(buckets)).cast("int")
     # an event without entity has no partner anywhere: its bucket comes from its keys, so that many of them spread out
     own = F.pmod(F.xxhash64(*[F.col(k) for k in key_of]), F.lit(buckets)).cast("int")
     left = e.select(F.when(F.col("e").isNull(), own).otherwise(bucket).alias("b"), "e", "s", "t", *key_of)
@@ -133,7 +131,8 @@ def known_at_event_time(
     def bucket_join(a: pa.Table, b: pa.Table) -> pa.Table:
         import duckdb
 
-        with duckdb.connect(config={"threads": 1, "memory_limit": "600MB"}) as db:
+        # a bucket is bounded, so nothing is ever spilled to a folder of the machine
+        with duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""}) as db:
             db.register("events", a)
             db.register("statements", b)
             result = db.sql(sql).to_arrow_table()
@@ -142,44 +141,24 @@ def known_at_event_time(
     return left.groupBy("b").cogroup(right.groupBy("b")).applyInArrow(bucket_join, out)
 
 
-def _sliced(e: DataFrame, s: DataFrame, big: list[tuple[object, int]], rows_per_bucket: int):
-    """Slice and shard columns ``s`` and ``h`` for the entities of ``big`` (at most rows / rows_per_bucket)."""
-    spark = e.sparkSession
-    kind = e.schema["e"].dataType
-    names = F.broadcast(spark.createDataFrame([(x,) for x, _ in big], T.StructType([T.StructField("e", kind)])))
-    slices = max(1, math.ceil(max(n for _, n in big) / rows_per_bucket))
-    cuts = [i / slices for i in range(1, slices)] or [0.5]
-    found = s.join(names, "e").groupBy("e").agg(F.percentile_approx("a", cuts, 100 * slices).alias("bounds")).collect()
-    bounds = [(r["e"], sorted(set(r["bounds"])) if slices > 1 else []) for r in found]
-    where = F.broadcast(spark.createDataFrame(bounds, T.StructType([T.StructField("e", kind), T.StructField("bounds", T.ArrayType(T.LongType()))])))
-
-    def at(df: DataFrame, c: str) -> DataFrame:
-        return df.join(where, "e", "left").withColumn(
-            "s", F.coalesce(F.size(F.filter("bounds", lambda x: x <= F.col(c))), F.lit(0))
-        ).withColumn("s", F.greatest("s", F.lit(0)))
-
-    e, s = at(e, "t").drop("bounds"), at(s, "a")
-    counts = e.join(names, "e").groupBy("e", "s").count().where(F.col("count") > rows_per_bucket).collect()
-    shards = F.broadcast(
-        spark.createDataFrame(
-            [(r["e"], r["s"], -(-r["count"] // rows_per_bucket)) for r in counts],
-            T.StructType([T.StructField("e", kind), T.StructField("s", T.IntegerType()), T.StructField("n", T.IntegerType())]),
-        )
+def _sliced(e: DataFrame, s: DataFrame, large: DataFrame, keys: list[str], rows_per_bucket: int) -> tuple[DataFrame, DataFrame]:
+    """Events and statements with slice ``s``: 0 but for the ``large`` entities, whose slices have ``rows_per_bucket`` rows."""
+    nothing = lambda df, c: F.lit(None).cast(df.schema[c].dataType).alias(c)
+    # both kinds in one sort; a statement comes before the events of its time
+    rows = s.join(large, "e", "left_semi").select("e", F.col("a").alias("t"), F.lit(0).alias("kind"), "cur", *[nothing(e, k) for k in keys]).unionByName(
+        e.join(large, "e", "left_semi").select("e", "t", F.lit(1).alias("kind"), nothing(s, "cur"), *keys)
     )
-    one = F.coalesce("n", F.lit(1))
-    # the best statement of each slice; its running maximum is what every later slice starts with
-    best = s.where(F.size("bounds") > 0).groupBy("e", "s").agg(F.max("cur").alias("cur"))
-    every = where.select("e", F.col("bounds"), F.explode(F.sequence(F.lit(0), F.size("bounds"))).alias("s"))
-    from pyspark.sql import Window as W
-
+    placed = with_sequence(rows, ["e", "t", "kind", *keys], "at_")
+    first = placed.groupBy("e").agg(F.min("at_").alias("first_"))
+    placed = placed.join(first, "e").withColumn("s", F.floor((F.col("at_") - F.col("first_")) / rows_per_bucket).cast("long"))
+    said = placed.where("kind = 0").select("e", F.col("t").alias("a"), "cur", "s")
+    # per entity one row a slice: the best statement of the earlier ones is where a slice starts
     before = W.partitionBy("e").orderBy("s").rowsBetween(W.unboundedPreceding, -1)
-    carry = (
-        every.join(best, ["e", "s"], "left")
-        .withColumn("cur", F.max("cur").over(before))
-        .where("cur IS NOT NULL")
-        .select("e", F.lit(LOWEST).alias("a"), "cur", "s")
+    best = placed.groupBy("e", "s").agg(F.max("cur").alias("cur"))
+    carry = best.withColumn("cur", F.max("cur").over(before)).where("cur IS NOT NULL").select("e", F.lit(LOWEST).alias("a"), "cur", "s")
+    zero = F.lit(0).cast("long").alias("s")
+    rest = e.join(large, "e", "left_anti").select("e", "t", *keys, zero)
+    return (
+        rest.unionByName(placed.where("kind = 1").select("e", "t", *keys, "s")),
+        s.join(large, "e", "left_anti").select("e", "a", "cur", zero).unionByName(said).unionByName(carry),
     )
-    s = s.select("e", "a", "cur", "s").unionByName(carry)
-    e = e.join(shards, ["e", "s"], "left").withColumn("h", F.pmod(F.xxhash64(*[c for c in e.columns if c[0] == "k"]), one).cast("int")).drop("n")
-    s = s.join(shards, ["e", "s"], "left").withColumn("h", F.explode(F.sequence(F.lit(0), one - 1))).drop("n")
-    return e, s
