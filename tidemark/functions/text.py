@@ -80,7 +80,7 @@ def diff_lines(diff: Column, sign: str) -> Column:
     """Lines a diff adds (+) or removes (-), without their sign, joined by line feeds."""
     mark = sign * 3
     lines = F.filter(F.split(F.coalesce(diff, F.lit("")), "\n"), lambda x: x.startswith(sign) & ~x.startswith(mark))
-    return F.array_join(F.transform(lines, lambda x: F.substring(x, 2, 1_000_000_000)), "\n")
+    return F.array_join(F.transform(lines, lambda x: F.substring(x, 2, 2**31 - 1)), "\n")
 
 
 def diff_paths(diff: Column) -> Column:

@@ -8,6 +8,7 @@ read as far as they go. Builders for other languages give the same rows.
 from __future__ import annotations
 
 import re
+import sys
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -27,7 +28,6 @@ KEYWORDS = set(
     "true false null var record".split()
 )
 LAYERS = ("ast", "seq", "cfg", "dfg", "pdg")
-DEEPEST = 200
 ENTRY, EXIT = 0, 1
 
 
@@ -129,8 +129,6 @@ class Reader:
         w, line = self.at(i), self.line(i)
         if w in (";", "}", ")"):
             return None, i + 1
-        if depth > DEEPEST:
-            return Statement("expression", self.t[i:end], line), end
         if w == "{":
             body, j = self.block(i, end, depth)
             return Statement("block", [], line, body), j
@@ -201,6 +199,7 @@ class Reader:
 def methods(text: str) -> list[Method]:
     """Methods of a text with their innermost class; ``<top>`` if there is none."""
     r = Reader(tokenise(text))
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 8 * len(r.t) + 1000))  # nesting is as deep as the text has it
     out: list[Method] = []
     work = [(0, len(r.t), "")]
     while work:
@@ -418,7 +417,7 @@ def _rows(text: str | None, layers: tuple[str, ...]) -> Iterator[tuple]:
         for kind in layers:
             nodes, edges = g.layer(kind)
             for s in nodes:
-                yield kind, "node", m.cls, name, s.line, s.id, None, s.kind, " ".join(t[1] for t in s.tokens)[:200], g.depth[s.id]
+                yield kind, "node", m.cls, name, s.line, s.id, None, s.kind, " ".join(t[1] for t in s.tokens), g.depth[s.id]
             for a, b, label in sorted(edges):
                 yield kind, "edge", m.cls, name, None, a, b, label, None, None
 
@@ -426,7 +425,7 @@ def _rows(text: str | None, layers: tuple[str, ...]) -> Iterator[tuple]:
 def build_graphs(files: DataFrame, key: str = "file", text: str = "text", layers: tuple[str, ...] = LAYERS) -> DataFrame:
     """Nodes and edges of every method of every text, for each of ``layers``.
 
-    A node row has id, type, value (its code, cut to 200 characters), line and depth; an edge row has id
+    A node row has id, type, value (its code), line and depth; an edge row has id
     (source), dst and type (label). ``method`` is name@line. Null and empty texts have no rows.
     """
     schema = f"`{key}` {files.schema[key].dataType.simpleString()}, {SCHEMA}"

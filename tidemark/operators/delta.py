@@ -200,7 +200,7 @@ def line_graph(texts: DataFrame, key: str, text: str) -> DataFrame:
     return texts.select(key, text).mapInPandas(build, schema)
 
 
-def reaching_definitions(edges: DataFrame, defs: DataFrame, key: str, steps: int = 50) -> DataFrame:
+def reaching_definitions(edges: DataFrame, defs: DataFrame, key: str) -> DataFrame:
     """``key, node, var, def_node``: definitions that reach each node's entry in a control-flow graph.
 
     ``edges`` (key, src, dst), ``defs`` (key, node, var). A definition passes a node unless that defines
@@ -212,10 +212,9 @@ def reaching_definitions(edges: DataFrame, defs: DataFrame, key: str, steps: int
     hop = lambda facts: facts.join(edges.withColumnRenamed("src", "node"), [key, "node"]).select(key, F.col("dst").alias("node"), "var", "def_node").distinct()
     facts = durable(hop(made))
     new = facts
-    for _ in range(steps):
+    while True:
         alive = new.join(defs.select(key, "node", "var"), [key, "node", "var"], "left_anti")
         new = durable(hop(alive).join(facts, [key, "node", "var", "def_node"], "left_anti"))
         if new.isEmpty():
             return facts
         facts = durable(facts.unionByName(new))
-    return facts

@@ -8,9 +8,10 @@ into shards for the join. Lineage is cut by written checkpoints every few steps.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.operators.past import strict_past
+from tidemark.operators.past import strict_past, with_sequence
 from tidemark.operators.skew import hot_keys, join_salted
 from tidemark.session import durable
 
@@ -154,26 +155,27 @@ def risk_walk(edges: DataFrame, mass: DataFrame, alpha: float = 0.15, iterations
     return walk(t, mass.select("node", (F.col("m") / total).alias("risk")), ["risk"], alpha, iterations)
 
 
-def kcore(edges: DataFrame, max_k: int = 1000) -> DataFrame:
-    """``node, core``: true core numbers by peeling, all nodes of less than k neighbours at a time.
+def kcore(edges: DataFrame) -> DataFrame:
+    """``node, core``: true core numbers, by h-indices.
 
-    The one-pass variant with stale degrees is not reproduced; this is the exact number.
+    Each node starts with its degree and takes, step by step, the greatest h such that h neighbours have h or
+    more, until nothing changes. Neighbours are counted per value, with values above the node's own as
+    its own, so a node with very many edges is a few rows. The one-pass variant with stale degrees is not reproduced.
     """
-    live = durable(symmetric(edges))
-    core = nodes_of(edges).withColumn("core", F.lit(0))
-    for k in range(1, max_k + 1):
-        if live.isEmpty():
-            break
-        core = durable(core.join(live.select(F.col("u").alias("node")).distinct().withColumn("up_", F.lit(k)), "node", "left").select("node", F.coalesce("up_", "core").alias("core")))
-        while True:
-            gone = live.groupBy("u").agg(F.count(F.lit(1)).alias("d")).where(F.col("d") <= k).select("u")
-            if gone.isEmpty():
-                break
-            live = durable(live.join(gone, "u", "left_anti").join(gone.withColumnRenamed("u", "v"), "v", "left_anti").select("u", "v"))
-    return core
-
-
-def components(edges: DataFrame, keys: list[str] | None = None, max_steps: int = 100) -> DataFrame:
+    near = durable(symmetric(edges))
+    core = durable(nodes_of(edges).join(near.groupBy(F.col("u").alias("node")).agg(F.count(F.lit(1)).alias("core")), "node", "left").na.fill(0, ["core"]))
+    falling = W.partitionBy("u").orderBy(F.desc("at_")).rowsBetween(W.unboundedPreceding, 0)
+    while True:
+        of = lambda c, n: core.select(F.col("node").alias(c), F.col("core").alias(n))
+        seen = near.join(of("v", "cv"), "v").join(of("u", "cu"), "u").groupBy("u", F.least("cu", "cv").alias("at_")).agg(F.count(F.lit(1)).alias("n_"))
+        h = seen.withColumn("n_", F.sum("n_").over(falling)).groupBy(F.col("u").alias("node")).agg(F.max(F.least("at_", "n_")).alias("h_"))
+        new = durable(core.join(h, "node", "left").select("node", F.coalesce("h_", F.lit(0).cast("long")).alias("core"), (F.coalesce("h_", F.lit(0)) < F.col("core")).alias("less_")))
+        core = new.drop("less_")
+        if new.where("less_").isEmpty():
+            return core
+
+
+def components(edges: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """``keys, node, component``: least node of the weakly connected component, per combination of keys.
 
     Labels spread to neighbours and then jump to the label of their label, so long chains take
@@ -183,15 +185,14 @@ def components(edges: DataFrame, keys: list[str] | None = None, max_steps: int =
     e = edges.select(*keys, F.col("src").alias("u"), F.col("dst").alias("v"))
     both = durable(e.unionByName(e.select(*keys, F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     label = both.select(*keys, F.col("u").alias("node")).distinct().withColumn("component", F.col("node"))
-    for _ in range(max_steps):
+    while True:
         near = both.join(label.withColumnRenamed("node", "u"), [*keys, "u"]).groupBy(*keys, F.col("v").alias("node")).agg(F.min("component").alias("n_"))
         new = label.join(near, [*keys, "node"], "left").select(*keys, "node", F.least("component", "n_").alias("c1"), F.col("component").alias("old"))
         up = new.select(*keys, F.col("node").alias("c1"), F.col("c1").alias("c2"))
         new = durable(new.join(up, [*keys, "c1"], "left").select(*keys, "node", F.least("c1", "c2").alias("component"), "old"))
         label = new.drop("old")
         if new.where("component <> old").isEmpty():
-            break
-    return label
+            return label
 
 
 def dependency_shape(hubs: DataFrame, edges: DataFrame, radius: int = 1, cap: int = 600) -> DataFrame:
@@ -241,33 +242,42 @@ def ppmi(inc: DataFrame, upto: int) -> DataFrame:
     return j.select("id", "seq", "hub", F.greatest(value, F.lit(0.0)).alias("m"))
 
 
-def factor_embedding(matrix: DataFrame, rank: int, row: str = "id", column: str = "hub", value: str = "m", max_columns: int = 20_000) -> DataFrame:
+def factor_embedding(matrix: DataFrame, rank: int, row: str = "id", column: str = "hub", value: str = "m", fit_columns: int = 20_000) -> DataFrame:
     """``row, embedding``: U sqrt(S) of a truncated SVD of a sparse matrix (one row per cell).
 
-    The right factor (columns x rank) lies on the driver; the columns with most cells, at most
-    ``max_columns``, are used to fit it. Rows without cells are not in the result.
+    The factors are fitted on the ``fit_columns`` columns with most cells, whose right factor lies on the
+    driver. All columns then get their right factor from all rows (V = M^T U / S) and all rows theirs from all
+    columns (U = M V / S), which changes nothing where the fit had every column. Rows without cells are not in
+    the result; a row that is tied to no fitted column even through others has zeros.
     """
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
     from pyspark.mllib.linalg import Vectors
     from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
 
-    cols = matrix.groupBy(column).agg(F.count(F.lit(1)).alias("n_")).orderBy(F.desc("n_"), column).limit(max_columns).collect()
     spark = matrix.sparkSession
-    place = F.broadcast(spark.createDataFrame([(r[column], i) for i, r in enumerate(cols)], f"`{column}` {matrix.schema[column].dataType.simpleString()}, c_ int"))
-    from tidemark.operators.past import with_sequence
-
-    rows = with_sequence(matrix.select(row).distinct(), [row], "r_")
-    cells = matrix.join(place, column).join(rows, row).groupBy("r_", row).agg(F.array_sort(F.collect_list(F.struct("c_", F.col(value).alias("v_")))).alias("x"))
+    kind = matrix.schema[row].dataType.simpleString()
+    cells = durable(matrix.select(row, column, F.col(value).cast("double").alias("v_")))
+    cols = cells.groupBy(column).agg(F.count(F.lit(1)).alias("n_")).orderBy(F.desc("n_"), column).limit(fit_columns).collect()
+    rows = with_sequence(cells.select(row).distinct(), [row], "r_")
     width = len(cols)
     k = min(rank, max(1, min(width, rows.count()) - 1)) if width else 0
-    schema = f"`{row}` {matrix.schema[row].dataType.simpleString()}, embedding array<double>"
     if k < 1 or width < 2:
         return rows.select(row, F.array_repeat(F.lit(0.0), rank).alias("embedding"))
-    m = IndexedRowMatrix(cells.select("r_", "x").rdd.map(lambda r: IndexedRow(r[0], Vectors.sparse(width, [(c, v) for c, v in r[1]]))))
+    place = F.broadcast(spark.createDataFrame([(r[column], i) for i, r in enumerate(cols)], f"`{column}` {matrix.schema[column].dataType.simpleString()}, c_ int"))
+    sparse = cells.join(place, column).join(rows, row).groupBy("r_").agg(F.array_sort(F.collect_list(F.struct("c_", "v_"))).alias("x"))
+    m = IndexedRowMatrix(sparse.rdd.map(lambda r: IndexedRow(r[0], Vectors.sparse(width, [(c, v) for c, v in r[1]]))))
     svd = m.computeSVD(k, computeU=True)
-    root = [float(s) ** 0.5 for s in svd.s]
-    u = svd.U.rows.map(lambda r: (r.index, [float(x) * y for x, y in zip(r.vector, root)]))
-    back = spark.createDataFrame(u, "r_ long, embedding array<double>")
-    return spark.createDataFrame(back.join(rows, "r_").select(row, "embedding").rdd, schema)
+    size = [float(s) for s in svd.s]
+    u = spark.createDataFrame(svd.U.rows.map(lambda r: (r.index, [float(x) / s for x, s in zip(r.vector, size)])), "r_ long, f_ array<double>")
+    u = durable(u.join(rows, "r_").select(row, "f_"))
+    carried = lambda to, by, f: cells.join(f, by).groupBy(to).agg(vector_to_array(Summarizer.sum(array_to_vector(F.transform("f_", lambda x: x * F.col("v_"))))).alias("f_"))
+    right = carried(column, row, u)
+    left = carried(row, column, right)
+    root = F.array(*[F.lit(s**-0.5) for s in size])
+    found = left.select(row, F.zip_with("f_", root, lambda x, y: x * y).alias("embedding"))
+    out = rows.select(row).join(found, row, "left").select(row, F.coalesce("embedding", F.array_repeat(F.lit(0.0), k)).alias("embedding"))
+    return out.select(F.col(row).cast(kind).alias(row), "embedding")
 
 
 def spectral_embedding(edges: DataFrame, rank: int = 32) -> DataFrame:
@@ -292,8 +302,6 @@ def train_distmult(triples: DataFrame, dim: int = 32, epochs: int = 10, negative
     start = lambda c: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: (F.pmod(F.xxhash64(c, i, F.lit(seed)), F.lit(20001)) / 10000.0 - 1.0) * 0.5)
     ent = durable(t.select(F.col("head").alias("entity")).union(t.select("tail")).distinct().withColumn("x", start(F.col("entity"))))
     rel = t.select("rel").distinct().withColumn("x", start(F.col("rel")))
-    from tidemark.operators.past import with_sequence
-
     tails = with_sequence(t.select("tail").distinct(), ["tail"], "no")
     n = tails.count()
     total = max(t.count(), 1)

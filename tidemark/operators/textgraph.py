@@ -57,14 +57,13 @@ def vocabulary(event_terms: DataFrame, least: int, n_docs: Column | int) -> Data
 def pair_counts(event_terms: DataFrame) -> DataFrame:
     """``a < b, c``: documents in which both terms occur.
 
-    Pairs are made from each document's sorted list where it lies and counted on the map side.
+    Pairs are made from each document's sorted list where it lies, a row per first term, and counted on
+    the map side.
     """
-    lists = event_terms.groupBy("id").agg(F.array_sort(F.collect_set("term")).alias("ts"))
-    def later(i: Column) -> Column:
-        return F.transform(F.slice(F.col("ts"), i + 2, 1_000_000), lambda b: F.struct(F.get("ts", i).alias("a"), b.alias("b")))
-
-    pairs = lists.where(F.size("ts") > 1).select(F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.size("ts") - 2), later))).alias("p"))
-    return pairs.groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count(F.lit(1)).alias("c"))
+    lists = event_terms.groupBy("id").agg(F.array_sort(F.collect_set("term")).alias("ts")).where(F.size("ts") > 1)
+    firsts = lists.select("ts", F.posexplode("ts").alias("i", "a")).where(F.col("i") < F.size("ts") - 1)
+    pairs = firsts.select("a", F.explode(F.slice("ts", F.col("i") + 2, F.size("ts"))).alias("b"))
+    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
 
 
 def npmi_edges(event_terms: DataFrame, n_docs: Column | int, least_together: int = 2, least_npmi: float = 0.15) -> DataFrame:

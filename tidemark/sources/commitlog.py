@@ -75,7 +75,7 @@ def parse_log(blocks: DataFrame, suffix: str = ".java", scope: str = "modified")
     df = df.withColumns({name: F.col("h")[i] for i, name in enumerate(HEADER)})
     for c in ("authored_timestamp", "committed_timestamp"):
         df = df.withColumn(c, F.expr(f"try_cast(trim({c}) AS bigint)")).where(F.col(c).isNotNull())
-    data = F.filter(F.transform(F.slice("lines", 2, 1_000_000), lambda x: F.trim(x)), lambda x: x != "")
+    data = F.filter(F.transform(F.slice("lines", F.lit(2), F.size("lines")), lambda x: F.trim(x)), lambda x: x != "")
     df = df.withColumn("data", data)
     df = df.withColumn("stat", F.transform(F.filter("data", lambda x: x.rlike(r"^(\d+|-)\t(\d+|-)\t.")), lambda x: F.split(x, "\t", 3)))
     named = F.transform("stat", lambda s: s[2])

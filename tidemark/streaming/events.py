@@ -58,10 +58,7 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     query.awaitTermination()
     schema = T.StructType([*stream.schema.fields])
     out = f"{root}/out"
-    try:
-        batches = sorted(int(n.split("=")[1]) for n in _list(spark, out) if n.startswith("batch="))
-    except Exception:
-        batches = []
+    batches = sorted(int(n.split("=")[1]) for n in _list(spark, out) if n.startswith("batch=")) if _exists(spark, out) else []
     if not batches:
         return spark.createDataFrame([], schema)
     chosen = batches if mode == "append" else batches[-1:]
