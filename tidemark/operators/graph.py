@@ -7,6 +7,9 @@ into shards for the join. Lineage is cut by written checkpoints every few steps.
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import batched
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -38,13 +41,13 @@ def transition(edges: DataFrame) -> DataFrame:
     return edges.join(total, "u").select("u", "v", "w", (F.col("w") / F.col("t_")).alias("p"))
 
 
-def walk(edges: DataFrame, seeds: DataFrame, columns: list[str], alpha: float, iterations: int, rows_per_shard: int = 2_000_000) -> DataFrame:
+def walk(edges: DataFrame, seeds: DataFrame, columns: list[str], alpha: float, iterations: int, rows_per_shard: int = 2_000_000, written: bool = False) -> DataFrame:
     """x <- (1 - alpha) P x + alpha s for several seed columns at once, from x = s.
 
     ``edges`` has (u, v, p), ``seeds`` has (node, columns) with rows where any is not 0. Mass at nodes
-    without edges is lost.
+    without edges is lost. ``written`` says that the edges are a written table already.
     """
-    edges = durable(edges.select("u", "v", "p"))
+    edges = edges if written else durable(edges.select("u", "v", "p"))
     hot = hot_keys(edges, ["u"], rows_per_shard)
     seeds = durable(seeds.select("node", *columns))
     x = seeds
@@ -59,20 +62,67 @@ def walk(edges: DataFrame, seeds: DataFrame, columns: list[str], alpha: float, i
     return x
 
 
-def ppr_scores(inc: DataFrame, events: DataFrame, upto: int, block: int, alpha: float = 0.15, iterations: int = 40) -> DataFrame:
-    """``id, bad, good, score`` of the events [upto, upto + block): walks seeded by the earlier events of either label.
+def _node(id: str = "id") -> Column:
+    return F.concat(F.lit("e:"), F.col(id).cast("string"))
+
+
+def _known(events: DataFrame, starts: list[int]) -> list[tuple[float, float]]:
+    """Per start the numbers of earlier events with label 1 and with label 0."""
+    slot = F.size(F.filter(F.array(*[F.lit(s) for s in starts]), lambda s: s <= F.col("seq")))
+    per = {r["s_"]: (r["b"], r["n"]) for r in events.groupBy(slot.alias("s_")).agg(F.sum("y").alias("b"), F.count(F.lit(1)).alias("n")).collect()}
+    out, bad, n = [], 0, 0
+    for i in range(len(starts)):
+        b, c = per.get(i, (0, 0))
+        bad, n = bad + b, n + c
+        out.append((float(bad), float(n - bad)))
+    return out
+
+
+def _own(names: list[str], starts: list[int], block: int) -> Column:
+    """Of one column per block that of the row's own block."""
+    return F.get(F.array(*[F.coalesce(F.col(c), F.lit(0.0)) for c in names]), F.floor((F.col("seq") - starts[0]) / block).cast("int"))
+
+
+def _unscored(events: DataFrame, columns: list[str]) -> DataFrame:
+    return events.select("id", "seq", *[F.lit(0.0).alias(c) for c in columns]).limit(0)
+
 
-    score = bad / (bad + good + 1e-12). The walk uses the edges of all events of ``inc``; give it only
-    those before upto + block for a strict past.
+def ppr_blocks(inc: DataFrame, events: DataFrame, starts: list[int], block: int, alpha: float = 0.15, iterations: int = 40, strict: bool = False, together: int = 16) -> DataFrame:
+    """``id, seq, bad, good, score`` of the events of every block: walks seeded by the events of either label before it.
+
+    score = bad / (bad + good + 1e-12). The walks of ``together`` blocks are columns of one pass over the edges of
+    all events. With ``strict`` each block walks over the edges of the events up to its end only; then blocks are
+    parts of one larger graph.
     """
-    past = events.where(F.col("seq") < upto)
-    n = past.agg(F.sum("y").alias("b"), F.sum(1 - F.col("y")).alias("g")).collect()[0]
-    node = F.concat(F.lit("e:"), F.col("id"))
-    seeds = past.select(node.alias("node"), (F.col("y") / F.lit(float(n["b"] or 1))).alias("bad"), ((1 - F.col("y")) / F.lit(float(n["g"] or 1))).alias("good"))
-    x = walk(bipartite(inc), seeds, ["bad", "good"], alpha, iterations)
-    asked = events.where((F.col("seq") >= upto) & (F.col("seq") < upto + block)).select("id", "seq", node.alias("node"))
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    return asked.join(x, "node", "left").select("id", "seq", zero("bad").alias("bad"), zero("good").alias("good"), (zero("bad") / (zero("bad") + zero("good") + 1e-12)).alias("score"))
+    if not starts:
+        return _unscored(events, ["bad", "good", "score"])
+    known = _known(events, starts)
+    edges = None if strict else durable(bipartite(inc).select("u", "v", "p"))
+    parts = []
+    for some in batched(range(len(starts)), together):
+        own = [starts[i] for i in some]
+        past = events.where(F.col("seq") < own[-1])
+        if strict:
+            tag = lambda c: F.concat_ws("#", F.col("b_"), c)
+            copies = lambda df, more: df.withColumn("b_", F.explode(F.filter(F.array(*[F.lit(s) for s in own]), lambda s: F.col("seq") < s + more)))
+            graph_ = copies(inc, block)
+            e, h = tag(_node()), tag(F.concat(F.lit("h:"), F.col("hub").cast("string")))
+            graph_ = transition(graph_.select(e.alias("u"), h.alias("v"), "w").unionByName(graph_.select(h.alias("u"), e.alias("v"), "w")))
+            at = F.create_map(*[x for i, s in zip(some, own) for x in (F.lit(s), F.array(F.lit(known[i][0] or 1.0), F.lit(known[i][1] or 1.0)))])
+            rows = copies(past, 0)
+            seeds = rows.select(tag(_node()).alias("node"), (F.col("y") / at[F.col("b_")][0]).alias("bad"), ((1 - F.col("y")) / at[F.col("b_")][1]).alias("good"))
+            x = walk(graph_, seeds, ["bad", "good"], alpha, iterations)
+            asked = events.where((F.col("seq") >= own[0]) & (F.col("seq") < own[-1] + block)).withColumn("b_", starts[0] + F.floor((F.col("seq") - starts[0]) / block) * block)
+            got = asked.select("id", "seq", tag(_node()).alias("node")).join(x, "node", "left").na.fill(0.0, ["bad", "good"])
+        else:
+            bads, goods = [f"b{i}" for i in some], [f"g{i}" for i in some]
+            seen = lambda s, v, n: F.when(F.col("seq") < s, v / F.lit(n or 1.0)).otherwise(0.0)
+            seeds = past.select(_node().alias("node"), *[seen(starts[i], F.col("y"), known[i][0]).alias(f"b{i}") for i in some], *[seen(starts[i], 1 - F.col("y"), known[i][1]).alias(f"g{i}") for i in some])
+            x = walk(edges, seeds, [*bads, *goods], alpha, iterations, written=True)
+            asked = events.where((F.col("seq") >= own[0]) & (F.col("seq") < own[-1] + block)).select("id", "seq", _node().alias("node")).join(x, "node", "left")
+            got = asked.select("id", "seq", _own(bads, own, block).alias("bad"), _own(goods, own, block).alias("good"))
+        parts.append(got.select("id", "seq", "bad", "good", (F.col("bad") / (F.col("bad") + F.col("good") + 1e-12)).alias("score")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def rn_scores(inc: DataFrame, events: DataFrame, block: int = 200, first: int = 0) -> DataFrame:
@@ -93,21 +143,31 @@ def rn_scores(inc: DataFrame, events: DataFrame, block: int = 200, first: int =
     return j.select("id", "seq", F.when(F.col("d_") > 0, F.col("n_") / F.greatest("d_", F.lit(1e-9))).otherwise(F.col("g_")).alias("rn"))
 
 
-def label_propagation(inc: DataFrame, events: DataFrame, upto: int, iterations: int = 3) -> DataFrame:
-    """``id, seq, f``: events gather from hubs what hubs gather from events; events before ``upto`` keep their label."""
-    n = events.where(F.col("seq") < upto).agg(F.avg("y")).collect()[0][0] or 0.0
-    known = F.col("seq") < upto
+def propagation_blocks(inc: DataFrame, events: DataFrame, starts: list[int], block: int, iterations: int = 3, together: int = 32) -> DataFrame:
+    """``id, seq, f`` of the events of every block: events gather from hubs what hubs gather from events.
+
+    Events before a block keep their label in it, all others start from the mean label before it. ``together`` blocks
+    are columns of one pass.
+    """
+    if not starts:
+        return _unscored(events, ["f"])
+    known = _known(events, starts)
     by_id = inc.groupBy("id").agg(F.sum("w").alias("ti"))
     by_hub = inc.groupBy("hub").agg(F.sum("w").alias("th"))
     edges = durable(inc.join(by_id, "id").join(by_hub, "hub").select("id", "hub", (F.col("w") / F.col("ti")).alias("pi"), (F.col("w") / F.col("th")).alias("ph")))
-    f = events.select("id", "seq", "y", F.when(known, F.col("y")).otherwise(F.lit(float(n))).cast("double").alias("f"))
-    for i in range(1, iterations + 1):
-        h = edges.join(f.select("id", "f"), "id").groupBy("hub").agg(F.sum(F.col("ph") * F.col("f")).alias("h"))
-        g = edges.join(h, "hub").groupBy("id").agg(F.sum(F.col("pi") * F.col("h")).alias("g"))
-        f = f.drop("f").join(g, "id", "left").withColumn("f", F.when(known, F.col("y").cast("double")).otherwise(F.coalesce("g", F.lit(0.0)))).drop("g")
-        if i % CUT_EVERY == 0:
-            f = durable(f)
-    return f.select("id", "seq", "f")
+    parts = []
+    for some in batched(range(len(starts)), together):
+        own, names = [starts[i] for i in some], [f"f{i}" for i in some]
+        clamp = lambda i, other: F.when(F.col("seq") < starts[i], F.col("y").cast("double")).otherwise(other)
+        f = events.select("id", "seq", "y", *[clamp(i, F.lit(known[i][0] / max(sum(known[i]), 1.0))).alias(f"f{i}") for i in some])
+        for step in range(1, iterations + 1):
+            h = edges.join(f.select("id", *names), "id").groupBy("hub").agg(*[F.sum(F.col("ph") * F.col(c)).alias(c) for c in names])
+            g = edges.join(h, "hub").groupBy("id").agg(*[F.sum(F.col("pi") * F.col(c)).alias(c) for c in names])
+            f = f.drop(*names).join(g, "id", "left").select("id", "seq", "y", *[clamp(i, F.coalesce(f"f{i}", F.lit(0.0))).alias(f"f{i}") for i in some])
+            if step % CUT_EVERY == 0:
+                f = durable(f)
+        parts.append(f.where((F.col("seq") >= own[0]) & (F.col("seq") < own[-1] + block)).select("id", "seq", _own(names, own, block).alias("f")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def nodes_of(edges: DataFrame) -> DataFrame:
@@ -229,26 +289,33 @@ def dependency_shape(hubs: DataFrame, edges: DataFrame, radius: int = 1, cap: in
     )
 
 
-def ppmi(inc: DataFrame, upto: int) -> DataFrame:
-    """``id, hub, m``: positive pointwise information with hub marginals of events before ``upto`` only."""
+def ppmi_blocks(inc: DataFrame, first: int, block: int) -> DataFrame:
+    """``id, seq, hub, m``: positive pointwise information of every event with the hub marginals of the events before its block.
+
+    Blocks begin at ``first`` and every ``block`` rows before and after it. Sums per hub and block, and over earlier
+    blocks, take the place of a pass per block.
+    """
     eps = 1e-9
-    col = inc.where(F.col("seq") < upto).groupBy("hub").agg(F.sum("w").alias("c"))
+    b = F.floor((F.col("seq") - first) / block)
+    rows = inc.withColumn("b_", b)
+    per = rows.groupBy("hub", "b_").agg(F.sum("w").alias("w_"))
+    col = strict_past(per, ["hub"], "b_", {"c": ("sum", F.col("w_"))}).select("hub", "b_", (F.col("c") + eps).alias("c"))
+    total = strict_past(per.groupBy("b_").agg(F.sum("w_").alias("w_")), [], "b_", {"t": ("sum", F.col("w_"))}).select("b_", "t")
+    n_hubs = inc.select("hub").distinct().count()
     row = inc.groupBy("id").agg(F.sum("w").alias("r"))
-    hubs = inc.select("hub").distinct()
-    n = hubs.join(col, "hub", "left").select("hub", (F.coalesce("c", F.lit(0.0)) + eps).alias("c"))
-    total = n.agg(F.sum("c")).scalar()
-    j = inc.join(n, "hub").join(row, "id")
-    value = F.log(F.greatest("w", F.lit(eps)) * total / ((F.col("r") + eps) * F.col("c")) + 1e-12)
+    j = rows.join(col, ["hub", "b_"]).join(F.broadcast(total), "b_").join(row, "id")  # one row a block
+    value = F.log(F.greatest("w", F.lit(eps)) * (F.col("t") + n_hubs * eps) / ((F.col("r") + eps) * F.col("c")) + 1e-12)
     return j.select("id", "seq", "hub", F.greatest(value, F.lit(0.0)).alias("m"))
 
 
-def factor_embedding(matrix: DataFrame, rank: int, row: str = "id", column: str = "hub", value: str = "m", fit_columns: int = 20_000) -> DataFrame:
+def factor_embedding(matrix: DataFrame, rank: int, row: str = "id", column: str = "hub", value: str = "m", fit_columns: int = 20_000, fit_rows: DataFrame | None = None) -> DataFrame:
     """``row, embedding``: U sqrt(S) of a truncated SVD of a sparse matrix (one row per cell).
 
     The factors are fitted on the ``fit_columns`` columns with most cells, whose right factor lies on the
     driver. All columns then get their right factor from all rows (V = M^T U / S) and all rows theirs from all
     columns (U = M V / S), which changes nothing where the fit had every column. Rows without cells are not in
-    the result; a row that is tied to no fitted column even through others has zeros.
+    the result; a row that is tied to no fitted column even through others has zeros. With ``fit_rows`` only these
+    rows decide the factors, and all others are folded in by their columns.
     """
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
@@ -258,22 +325,23 @@ def factor_embedding(matrix: DataFrame, rank: int, row: str = "id", column: str
     spark = matrix.sparkSession
     kind = matrix.schema[row].dataType.simpleString()
     cells = durable(matrix.select(row, column, F.col(value).cast("double").alias("v_")))
-    cols = cells.groupBy(column).agg(F.count(F.lit(1)).alias("n_")).orderBy(F.desc("n_"), column).limit(fit_columns).collect()
+    counted = cells if fit_rows is None else cells.join(fit_rows.select(row).distinct(), row, "left_semi")
+    cols = counted.groupBy(column).agg(F.count(F.lit(1)).alias("n_")).orderBy(F.desc("n_"), column).limit(fit_columns).collect()
     rows = with_sequence(cells.select(row).distinct(), [row], "r_")
     width = len(cols)
     k = min(rank, max(1, min(width, rows.count()) - 1)) if width else 0
     if k < 1 or width < 2:
         return rows.select(row, F.array_repeat(F.lit(0.0), rank).alias("embedding"))
     place = F.broadcast(spark.createDataFrame([(r[column], i) for i, r in enumerate(cols)], f"`{column}` {matrix.schema[column].dataType.simpleString()}, c_ int"))
-    sparse = cells.join(place, column).join(rows, row).groupBy("r_").agg(F.array_sort(F.collect_list(F.struct("c_", "v_"))).alias("x"))
+    sparse = counted.join(place, column).join(rows, row).groupBy("r_").agg(F.array_sort(F.collect_list(F.struct("c_", "v_"))).alias("x"))
     m = IndexedRowMatrix(sparse.rdd.map(lambda r: IndexedRow(r[0], Vectors.sparse(width, [(c, v) for c, v in r[1]]))))
     svd = m.computeSVD(k, computeU=True)
     size = [float(s) for s in svd.s]
     u = spark.createDataFrame(svd.U.rows.map(lambda r: (r.index, [float(x) / s for x, s in zip(r.vector, size)])), "r_ long, f_ array<double>")
     u = durable(u.join(rows, "r_").select(row, "f_"))
-    carried = lambda to, by, f: cells.join(f, by).groupBy(to).agg(vector_to_array(Summarizer.sum(array_to_vector(F.transform("f_", lambda x: x * F.col("v_"))))).alias("f_"))
-    right = carried(column, row, u)
-    left = carried(row, column, right)
+    carried = lambda cells, to, by, f: cells.join(f, by).groupBy(to).agg(vector_to_array(Summarizer.sum(array_to_vector(F.transform("f_", lambda x: x * F.col("v_"))))).alias("f_"))
+    right = carried(counted, column, row, u)
+    left = carried(cells, row, column, right)
     root = F.array(*[F.lit(s**-0.5) for s in size])
     found = left.select(row, F.zip_with("f_", root, lambda x, y: x * y).alias("embedding"))
     out = rows.select(row).join(found, row, "left").select(row, F.coalesce("embedding", F.array_repeat(F.lit(0.0), k)).alias("embedding"))

@@ -54,6 +54,10 @@ def changes(spark: SparkSession, d: str) -> DataFrame:
     return once.withColumn("op", F.upper(F.trim("op")))
 
 
+# Warm-up w, block length m and block starts s of the stream, as tidemark.spec.PROTOCOL has them.
+PROTOCOL_SQL = """pc AS (SELECT count(*) AS n, floor(0.05 * count(*))::BIGINT AS w, greatest(200, ceil(count(*) / 100.0))::BIGINT AS m FROM ev),
+st AS MATERIALIZED (SELECT s, m FROM (SELECT unnest(range(w, n, m)) AS s, m FROM pc))"""
+
 SQL = """
 held AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY commit_id ORDER BY ingested_at DESC) AS rn FROM commits WHERE commit_id IS NOT NULL) WHERE rn = 1),
 said AS (SELECT * EXCLUDE (valid_from, known_at, author_date), CASE WHEN valid_from > 100000000000 THEN valid_from // 1000 ELSE valid_from END AS vf,

@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import graph as g
 from tidemark.operators import tiers
-from tidemark.plans.base import events, hub_events, sql
+from tidemark.plans.base import PROTOCOL_SQL, events, hub_events, sql
 from tidemark.plans.join_queries import _CALLS, _TOK, _calls, _tokens
 from tidemark.session import durable
+from tidemark.spec import PROTOCOL
+
 
-START, BLOCK = 300, 100
+
+def _protocol(ev):
+    """Block starts and length of the stream."""
+    n = ev.count()
+    return PROTOCOL.starts(n), PROTOCOL.block_length(n), PROTOCOL.first_scored(n)
 
 
 def _inc(spark, d):
@@ -49,23 +58,29 @@ def transition_matrix(spark, d):
 
 def rn_block_scores(spark, d):
     ev, inc = _inc(spark, d)
-    return _r(g.rn_scores(inc, ev, 100))
+    _, block, first = _protocol(ev)
+    return _r(g.rn_scores(inc, ev, block, first))
 
 
 def lp_3iter(spark, d):
+    """Every event after the warm-up, with the labels before its block."""
     ev, inc = _inc(spark, d)
-    return _r(g.label_propagation(inc, ev, START, 3).where(f"seq >= {START} AND seq < {START + BLOCK}"))
+    starts, block, _ = _protocol(ev)
+    return _r(g.propagation_blocks(inc, ev, starts, block, 3))
 
 
 def ppr_seeded_4iter(spark, d):
+    """Four steps for every event after the warm-up, seeded by the labels before its block."""
     ev, inc = _inc(spark, d)
-    return g.ppr_scores(inc, ev, START, BLOCK, iterations=4).select("id", "seq", F.round("score", 6).alias("score"), F.round(F.col("bad") * 1e6, 3).alias("bad"))
+    starts, block, _ = _protocol(ev)
+    return g.ppr_blocks(inc, ev, starts, block, iterations=4).select("id", "seq", F.round("score", 6).alias("score"), F.round(F.col("bad") * 1e6, 3).alias("bad"))
 
 
 def ppr_strict_past(spark, d):
-    """The walk over the edges before the end of the block only."""
+    """The walk of each block over the edges before its end only."""
     ev, inc = _inc(spark, d)
-    return g.ppr_scores(inc.where(f"seq < {START + BLOCK}"), ev, START, BLOCK, iterations=10)
+    starts, block, _ = _protocol(ev)
+    return _r(g.ppr_blocks(inc, ev, starts, block, iterations=6, strict=True).select("id", "seq", "score"))
 
 
 def pagerank_5iter(spark, d):
@@ -102,25 +117,34 @@ def dependency_shape(spark, d):
 
 
 def ppmi_matrix(spark, d):
-    _, inc = _inc(spark, d)
-    return _r(g.ppmi(inc, START).where("m > 1e-6").select("id", "hub", "m"), 5)
+    """Of every event with the marginals before its block."""
+    ev, inc = _inc(spark, d)
+    _, block, first = _protocol(ev)
+    return _r(g.ppmi_blocks(inc, first, block).where("m > 1e-6").select("id", "hub", "m"), 5)
 
 
 def dw_embedding(spark, d):
-    _, inc = _inc(spark, d)
-    return g.factor_embedding(g.ppmi(inc, START).where("m > 0"), 16)
+    ev, inc = _inc(spark, d)
+    _, block, first = _protocol(ev)
+    return g.factor_embedding(g.ppmi_blocks(inc, first, block).where("m > 0"), 16)
 
 
 def spectral_embedding(spark, d):
     return g.spectral_embedding(_edges(spark, d), 8)
 
 
-def kge_foldin(spark, d):
-    """Vectors of later events from a model trained on earlier ones."""
-    _, inc = _inc(spark, d)
-    t = inc.select("seq", F.col("id").alias("head"), F.substring("hub", 1, 1).alias("rel"), F.col("hub").alias("tail"))
-    ent, rel = g.train_distmult(t.where(f"seq < {START}"), dim=8, epochs=3)
-    return g.fold_in(t.where(f"seq >= {START}"), ent, rel)
+def kge_foldin(spark, d, parts=4):
+    """Vectors of all events after the warm-up, each from a model trained on the events before its part of the stream."""
+    ev, inc = _inc(spark, d)
+    n = ev.count()
+    first = PROTOCOL.first_scored(n)
+    t = durable(inc.select("seq", F.col("id").alias("head"), F.substring("hub", 1, 1).alias("rel"), F.col("hub").alias("tail")))
+    cuts = [first + (n - first) * i // parts for i in range(parts + 1)]
+    out = []
+    for a, b in zip(cuts, cuts[1:]):
+        ent, rel = g.train_distmult(t.where(F.col("seq") < a), dim=8, epochs=3)
+        out.append(g.fold_in(t.where((F.col("seq") >= a) & (F.col("seq") < b)), ent, rel))
+    return reduce(DataFrame.unionByName, out)
 
 
 def topology_snapshots(spark, d):
@@ -165,24 +189,45 @@ def _pr(a, b, steps):
 
 _E1 = "e1 AS (SELECT DISTINCT caller AS src, callee AS dst FROM cg WHERE caller <> callee)"
 _SY = "sy AS (SELECT u, v, 1.0 / count(*) OVER (PARTITION BY u) AS p FROM (SELECT src AS u, dst AS v FROM e1 UNION SELECT dst, src FROM e1))"
-_LP = ["le AS MATERIALIZED (SELECT id, hub, w / sum(w) OVER (PARTITION BY id) AS pi, w / sum(w) OVER (PARTITION BY hub) AS ph FROM inc)", "f0 AS (SELECT id, seq, y, CASE WHEN seq < 300 THEN y ELSE (SELECT avg(y) FROM ev WHERE seq < 300) END::DOUBLE AS f FROM ev)"]
-_LP += [x for i in (1, 2, 3) for x in (f"h{i} AS MATERIALIZED (SELECT hub, sum(ph * f) AS h FROM le JOIN f{i - 1} USING (id) GROUP BY hub)", f"f{i} AS MATERIALIZED (SELECT e.id, e.seq, e.y, CASE WHEN e.seq < 300 THEN e.y ELSE coalesce(q.g, 0) END::DOUBLE AS f FROM ev e LEFT JOIN (SELECT id, sum(pi * h) AS g FROM le JOIN h{i} USING (hub) GROUP BY id) q ON q.id = e.id)")]
+_LP = ["le AS MATERIALIZED (SELECT id, hub, w / sum(w) OVER (PARTITION BY id) AS pi, w / sum(w) OVER (PARTITION BY hub) AS ph FROM inc)",
+  "es AS MATERIALIZED (SELECT s, m, id, seq, y, seq < s AS past FROM ev, st)", "f0 AS (SELECT *, CASE WHEN past THEN y ELSE avg(y) FILTER (past) OVER (PARTITION BY s) END::DOUBLE AS f FROM es)"]
+_LP += [x for i in (1, 2, 3) for x in (f"h{i} AS MATERIALIZED (SELECT s, hub, sum(ph * f) AS h FROM le JOIN f{i - 1} USING (id) GROUP BY s, hub)", f"f{i} AS MATERIALIZED (SELECT e.*, CASE WHEN past THEN e.y ELSE coalesce(q.g, 0) END::DOUBLE AS f FROM es e LEFT JOIN (SELECT s, id, sum(pi * h) AS g FROM le JOIN h{i} USING (hub) GROUP BY s, id) q ON q.id = e.id AND q.s = e.s)")]
+_SEEDS = "SELECT s, 'e:' || id AS node, y / greatest(1, sum(y) OVER (PARTITION BY s)) AS bad, (1 - y) / greatest(1, sum(1 - y) OVER (PARTITION BY s)) AS good FROM ev JOIN st ON seq < s"
+_BLOCK = "FROM ev JOIN st ON seq >= s AND seq < s + m LEFT JOIN {x} x ON x.s = st.s AND x.node = 'e:' || ev.id"
+# the graph of each block: the edges of the events before its end
+_STRICT = """ib AS (SELECT s, id, hub, w FROM inc JOIN st ON seq < s + m),
+tb AS MATERIALIZED (SELECT s, u, v, w / sum(w) OVER (PARTITION BY s, u) AS p FROM (SELECT s, 'e:' || id AS u, 'h:' || hub AS v, w FROM ib UNION ALL SELECT s, 'h:' || hub, 'e:' || id, w FROM ib))"""
+
+
+def _walks(seed, steps, t="tr", own=False, a=0.15):
+    """Unrolled walk of every block start s; with ``own`` each has edges of its own."""
+    out = [f"x0 AS MATERIALIZED ({seed})"]
+    for i in range(1, steps + 1):
+        on = f"{t}.s = x.s AND u = node" if own else "u = node"
+        out.append(f"""x{i} AS MATERIALIZED (SELECT s, node, sum(bad) AS bad, sum(good) AS good FROM (SELECT x.s, v AS node, {1 - a} * p * bad AS bad, {1 - a} * p * good AS good FROM {t} JOIN x{i - 1} x ON {on}
+          UNION ALL SELECT s, node, {a} * bad, {a} * good FROM x0) GROUP BY s, node)""")
+    return ", ".join(out)
+
 
 ORACLE = {
     "incidence_idf": sql("SELECT id, hub, df, round(w, 6) AS w FROM inc", _INC),
     "token_incidence": sql("SELECT id, token AS hub, count(*) OVER (PARTITION BY token) AS df, round(n * ln(1 + (SELECT count(*) FROM ev) / count(*) OVER (PARTITION BY token)), 6) AS w FROM tok WHERE id IN (SELECT id FROM ev)", _TOK),
     "transition_matrix": sql("SELECT u, v, round(p, 6) AS p FROM tr", _INC),
-    "rn_block_scores": sql("""SELECT ev.id, ev.seq, round(CASE WHEN q.d > 0 THEN q.n / q.d ELSE coalesce((SELECT avg(y) FROM ev x WHERE x.seq < ev.seq // 100 * 100), 0) END, 6) AS rn FROM ev
-      LEFT JOIN (SELECT a.id, sum(a.w * b.w * b.y) AS n, sum(a.w * b.w) AS d FROM inc a JOIN inc b ON b.hub = a.hub AND b.seq < a.seq // 100 * 100 GROUP BY a.id) q ON q.id = ev.id""", _INC),
-    "lp_3iter": sql("SELECT id, seq, round(f, 6) AS f FROM f3 WHERE seq >= 300 AND seq < 400", _INC, *_LP),
-    "ppr_seeded_4iter": sql("SELECT ev.id, ev.seq, round(coalesce(bad, 0) / (coalesce(bad, 0) + coalesce(good, 0) + 1e-12), 6) AS score, round(coalesce(bad, 0) * 1e6, 3) AS bad FROM ev LEFT JOIN x4 ON x4.node = 'e:' || ev.id WHERE seq >= 300 AND seq < 400", _INC,
-      _walk(["bad", "good"], "SELECT 'e:' || id AS node, y / (SELECT sum(y) FROM ev WHERE seq < 300) AS bad, (1 - y) / (SELECT sum(1 - y) FROM ev WHERE seq < 300) AS good FROM ev WHERE seq < 300", 4)),
+    "rn_block_scores": sql("""SELECT ev.id, ev.seq, round(CASE WHEN q.d > 0 THEN q.n / q.d ELSE coalesce((SELECT avg(y) FROM ev x WHERE x.seq < ev.b), 0) END, 6) AS rn FROM eb ev
+      LEFT JOIN (SELECT a.id, sum(a.w * b.w * b.y) AS n, sum(a.w * b.w) AS d FROM inc a JOIN eb e ON e.id = a.id JOIN inc b ON b.hub = a.hub AND b.seq < e.b GROUP BY a.id) q ON q.id = ev.id""",
+      _INC, PROTOCOL_SQL, "eb AS MATERIALIZED (SELECT id, seq, w + floor((seq - w) / m) * m AS b FROM ev, pc)"),
+    "lp_3iter": sql("SELECT id, seq, round(f, 6) AS f FROM f3 WHERE seq >= s AND seq < s + m", _INC, PROTOCOL_SQL, *_LP),
+    "ppr_seeded_4iter": sql(f"SELECT ev.id, ev.seq, round(coalesce(bad, 0) / (coalesce(bad, 0) + coalesce(good, 0) + 1e-12), 6) AS score, round(coalesce(bad, 0) * 1e6, 3) AS bad {_BLOCK.format(x='x4')}", _INC, PROTOCOL_SQL, _walks(_SEEDS, 4)),
+    "ppr_strict_past": sql(f"SELECT ev.id, ev.seq, round(coalesce(bad, 0) / (coalesce(bad, 0) + coalesce(good, 0) + 1e-12), 6) AS score {_BLOCK.format(x='x6')}", _INC, PROTOCOL_SQL, _STRICT, _walks(_SEEDS, 6, "tb", True)),
     "pagerank_5iter": sql("SELECT node, round(r * 1000, 6) AS rank FROM r5", _CALLS, _pr("src", "dst", 5)),
     "reverse_pagerank_5iter": sql("SELECT node, round(r * 1000, 6) AS rank FROM r5", _CALLS, _pr("dst", "src", 5)),
     "degree_profile": sql("SELECT node, (SELECT count(*) FROM e1 WHERE dst = node) AS in_deg, (SELECT count(*) FROM e1 WHERE src = node) AS out_deg FROM (SELECT src AS node FROM e1 UNION SELECT dst FROM e1)", _CALLS, _E1),
     "risk_diffusion": sql("SELECT node, round(risk * 1000, 6) AS risk FROM x3", _CALLS, _E1, _SY, "ms AS (SELECT hub AS node, count(*) AS m FROM hub WHERE y = 1 AND hub IN (SELECT u FROM sy) GROUP BY hub)", _walk(["risk"], "SELECT node, m / (SELECT sum(m) FROM ms) AS risk FROM ms", 3, "sy")),
     "wcc_labels": sql("SELECT a AS node, min(b) AS component FROM rc GROUP BY a", _CALLS, _E1, _SY, "rc AS (SELECT u AS a, u AS b FROM sy UNION SELECT rc.a, sy.v FROM rc JOIN sy ON sy.u = rc.b)").replace("WITH ", "WITH RECURSIVE ", 1),
-    "ppmi_matrix": sql("""SELECT id, hub, round(m, 5) AS m FROM (SELECT i.id, i.hub, ln(greatest(w, 1e-9) * (SELECT sum(c) FROM cs) / ((sum(w) OVER (PARTITION BY i.id) + 1e-9) * c) + 1e-12) AS m FROM inc i JOIN cs USING (hub)) WHERE m > 1e-6""", _INC, "cs AS (SELECT hub, coalesce(sum(w) FILTER (seq < 300), 0) + 1e-9 AS c FROM inc GROUP BY hub)"),
+    "ppmi_matrix": sql("""SELECT id, hub, round(m, 5) AS m FROM (SELECT i.id, i.hub, ln(greatest(i.w, 1e-9) * t.t / ((sum(i.w) OVER (PARTITION BY i.id) + 1e-9) * c.c) + 1e-12) AS m
+      FROM ib i JOIN cs c ON c.hub = i.hub AND c.b = i.b JOIN (SELECT b, sum(c) AS t FROM cs GROUP BY b) t ON t.b = i.b) WHERE m > 1e-6""", _INC, PROTOCOL_SQL,
+      "ib AS MATERIALIZED (SELECT inc.*, pc.w + floor((seq - pc.w) / m) * m AS b FROM inc, pc)",
+      "cs AS MATERIALIZED (SELECT b.b, h.hub, coalesce(sum(h.w) FILTER (h.seq < b.b), 0) + 1e-9 AS c FROM (SELECT DISTINCT b FROM ib) b, inc h GROUP BY b.b, h.hub)"),
     "dependency_shape": sql("""SELECT i.id, round(coalesce(ln(1 + n), 0), 6) AS size, round(coalesce(m / (n * (n - 1)), 0), 6) AS density, round(coalesce(r / greatest(m, 1), 0), 6) AS reciprocity, round(coalesce(ln(1 + nc), 0), 6) AS components,
         round(coalesce(big / n, 0), 6) AS largest, round(coalesce(si, 0), 6) AS sd_in, round(coalesce(so, 0), 6) AS sd_out, round(coalesce(sr, 0), 6) AS sources FROM (SELECT DISTINCT id FROM hub) i
       LEFT JOIN (SELECT id, count(*) AS n, sum(o) AS m, stddev_pop(ind) AS si, stddev_pop(o) AS so, avg((ind = 0)::INT) AS sr FROM (SELECT nn.id, nn.node, (SELECT count(*) FROM su WHERE su.id = nn.id AND su.dst = nn.node) AS ind, (SELECT count(*) FROM su WHERE su.id = nn.id AND su.src = nn.node) AS o FROM nn) GROUP BY id) q ON q.id = i.id

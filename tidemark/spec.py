@@ -33,14 +33,26 @@ class Protocol:
     init_each: int = 10
     roll: int = 150
     stride: int = 25
+    most_blocks: int = 100
 
     def first_scored(self, n: int) -> int:
         return int(self.warmup * n)
 
+    def block_length(self, n: int) -> int:
+        """``block`` rows, more where the stream has more than ``most_blocks`` of them, so that work grows with the stream."""
+        return max(self.block, -(-n // self.most_blocks))
+
+    def starts(self, n: int) -> list[int]:
+        """Where the scored blocks of a stream of ``n`` rows begin."""
+        return list(range(self.first_scored(n), n, self.block_length(n)))
+
     def as_dict(self) -> dict:
         return asdict(self)
 
 
+PROTOCOL = Protocol()
+
+
 @dataclass(frozen=True)
 class Layer:
     """A structural layer of code graphs: node label, attaching relation and property names."""
