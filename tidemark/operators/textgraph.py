@@ -83,20 +83,55 @@ def term_risk(event_terms: DataFrame, rate: Column | float, m: float = 5.0) -> D
     return event_terms.groupBy("term").agg(F.sum("y").alias("b"), F.count(F.lit(1)).alias("n")).select("term", ((F.col("b") + m * rate) / (F.col("n") + m)).alias("base"))
 
 
-def propagate(base: DataFrame, edges: DataFrame, iterations: int = 8, damp: float = 0.6, cut_every: int = 4) -> DataFrame:
-    """``term, risk``: each step mixes a term's base with the weighted mean risk of its neighbours."""
-    base, edges = durable(base.select("term", "base")), durable(edges.select("a", "b", "npmi"))
-    total = edges.groupBy("a").agg(F.sum("npmi").alias("t"))
-    edges = edges.join(total, "a").select(F.col("a").alias("term"), "b", (F.col("npmi") / F.col("t")).alias("p"))
-    x = base.select("term", F.col("base").alias("risk"))
+def propagate(base: DataFrame, edges: DataFrame, iterations: int = 8, damp: float = 0.6, cut_every: int = 4, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``keys, term, risk``: each step mixes a term's base with the weighted mean risk of its neighbours, per combination of ``keys``."""
+    base, edges = durable(base.select(*keys, "term", "base")), durable(edges.select(*keys, "a", "b", "npmi"))
+    total = edges.groupBy(*keys, "a").agg(F.sum("npmi").alias("t"))
+    edges = edges.join(total, [*keys, "a"]).select(*keys, F.col("a").alias("term"), "b", (F.col("npmi") / F.col("t")).alias("p"))
+    x = base.select(*keys, "term", F.col("base").alias("risk"))
     for i in range(1, iterations + 1):
-        near = edges.join(x.select(F.col("term").alias("b"), "risk"), "b").groupBy("term").agg(F.sum(F.col("p") * F.col("risk")).alias("near"))
-        x = base.join(near, "term", "left").select("term", F.when(F.col("near").isNull(), F.col("base")).otherwise((1 - damp) * F.col("base") + damp * F.col("near")).alias("risk"))
+        near = edges.join(x.select(*keys, F.col("term").alias("b"), "risk"), [*keys, "b"]).groupBy(*keys, "term").agg(F.sum(F.col("p") * F.col("risk")).alias("near"))
+        x = base.join(near, [*keys, "term"], "left").select(*keys, "term", F.when(F.col("near").isNull(), F.col("base")).otherwise((1 - damp) * F.col("base") + damp * F.col("near")).alias("risk"))
         if i % cut_every == 0 and i < iterations:
             x = durable(x)
     return x
 
 
+def online_prior(event_terms: DataFrame, events: DataFrame, starts: list[int], block: int, least_together: int = 2, least_npmi: float = 0.3, iterations: int = 4, damp: float = 0.5, m: float = 5.0) -> DataFrame:
+    """``id, seq, prior`` of the events of every block: mean risk of the event's terms, refreshed at each block's start.
+
+    Terms, pairs, NPMI and the risk that spreads over it come from the events before the block only. Counts are taken
+    per block once and cumulated, and all blocks spread their risk side by side. ``event_terms`` has distinct (id, seq,
+    y, term). Terms that are new, and events without terms, get the rate before the block.
+    """
+    if not starts:
+        return events.select("id", "seq", F.lit(0.0).alias("prior")).limit(0)
+    first = starts[0]
+    later = F.filter(F.array(*[F.lit(s) for s in starts]), lambda s: s > F.col("made"))
+    made = (F.floor((F.col("seq") - first) / block) * block + first).alias("made")  # start of the event's block
+    upto = lambda df, keys, sums: df.withColumn("start", F.explode(later)).groupBy("start", *keys).agg(*[F.sum(c).alias(c) for c in sums])
+    rows = durable(event_terms.select("id", "seq", "y", "term", made))
+    rate = upto(events.groupBy(made).agg(F.sum("y").alias("bad"), F.count(F.lit(1)).alias("n")), [], ["bad", "n"])
+    rate = F.broadcast(durable(rate.select("start", F.col("n").cast("double").alias("docs"), (F.col("bad") / F.col("n")).alias("rate"))))  # one row a block
+    terms = durable(upto(rows.groupBy("made", "term").agg(F.sum("y").alias("bad"), F.count(F.lit(1)).alias("n")), ["term"], ["bad", "n"]))
+    lists = rows.groupBy("id", "made").agg(F.array_sort(F.collect_set("term")).alias("ts")).where(F.size("ts") > 1)
+    firsts = lists.select("made", "ts", F.posexplode("ts").alias("i", "a")).where(F.col("i") < F.size("ts") - 1)
+    pairs = firsts.select("made", "a", F.explode(F.slice("ts", F.col("i") + 2, F.size("ts"))).alias("b")).groupBy("made", "a", "b").agg(F.count(F.lit(1)).alias("c"))
+    pairs = upto(pairs, ["a", "b"], ["c"]).where(F.col("c") >= least_together).join(rate, "start")
+    of = lambda c, n: terms.select("start", F.col("term").alias(c), F.col("n").alias(n))
+    pairs = pairs.join(of("a", "na"), ["start", "a"]).join(of("b", "nb"), ["start", "b"])
+    c = F.col("c").cast("double")
+    value = F.when(c == F.col("docs"), 1.0).otherwise(F.try_divide(F.log(c * F.col("docs") / (F.col("na") * F.col("nb"))), -F.log(c / F.col("docs"))))
+    pairs = durable(pairs.withColumn("npmi", value).where(F.col("npmi") >= least_npmi).select("start", "a", "b", "npmi"))
+    both = pairs.unionByName(pairs.select("start", F.col("b").alias("a"), F.col("a").alias("b"), "npmi"))
+    base = terms.join(rate, "start").select("start", "term", ((F.col("bad") + m * F.col("rate")) / (F.col("n") + m)).alias("base"))
+    risk = propagate(base, both, iterations, damp, keys=("start",))
+    asked = rows.where(F.col("seq") >= first).select("id", "term", F.col("made").alias("start"))
+    known = asked.join(risk, ["start", "term"], "left").join(rate, "start").groupBy("id").agg(F.avg(F.coalesce("risk", "rate")).alias("prior"))
+    own = events.where(F.col("seq") >= first).select("id", "seq", made).withColumnRenamed("made", "start").join(rate, "start")
+    return own.join(known, "id", "left").select("id", "seq", F.coalesce("prior", "rate").alias("prior"))
+
+
 def text_features(weights: DataFrame, kinds: DataFrame, risk: DataFrame, rate: Column | float, ids: DataFrame) -> DataFrame:
     """Per event the mean term risk by weight (``prior``) and the weight mass per kind.
 

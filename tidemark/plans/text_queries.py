@@ -7,11 +7,17 @@ from pyspark.sql import functions as F
 from tidemark.functions import dates
 from tidemark.functions import text as tx
 from tidemark.operators import textgraph as tg
-from tidemark.plans.base import commits, events, sql
+from tidemark.plans.base import PROTOCOL_SQL, commits, events, sql
 from tidemark.plans.join_queries import _tokens
 from tidemark.session import durable, table
+from tidemark.spec import PROTOCOL
 
-PAST = 300
+TRAIN = 0.7
+
+
+def _past(docs):
+    """Events in the training share of the stream, the first 70 percent."""
+    return int(docs.count() * TRAIN)
 
 
 def _docs(spark, d):
@@ -21,11 +27,16 @@ def _docs(spark, d):
 
 
 def _event_terms(spark, d, least=3):
-    """Distinct (id, seq, y, term) of the vocabulary of the first PAST events, and the vocabulary."""
+    """Documents, distinct (id, seq, y, term) of the vocabulary of the training events, the vocabulary, and the number of these events."""
     docs = durable(_docs(spark, d))
-    terms = docs.select("id", "seq", "y", F.explode(F.array_distinct(F.transform("toks", lambda t: t["term"]))).alias("term"))
-    vocab = durable(tg.vocabulary(terms.where(f"seq < {PAST}"), least, PAST))
-    return docs, terms.join(vocab.select("term"), "term", "left_semi"), vocab
+    n = _past(docs)
+    terms = _all_terms(docs)
+    vocab = durable(tg.vocabulary(terms.where(F.col("seq") < n), least, n))
+    return docs, terms.join(vocab.select("term"), "term", "left_semi"), vocab, n
+
+
+def _all_terms(docs):
+    return docs.select("id", "seq", "y", F.explode(F.array_distinct(F.transform("toks", lambda t: t["term"]))).alias("term"))
 
 
 def _r(df, digits=6):
@@ -93,9 +104,9 @@ def calendar_features(spark, d):
 
 
 def ngram_cooccur(spark, d):
-    """Pairs of terms in the past events' messages."""
-    _, terms, _ = _event_terms(spark, d)
-    return tg.pair_counts(terms.where(f"seq < {PAST}")).where("c >= 2")
+    """Pairs of terms in the training events' messages."""
+    _, terms, _, n = _event_terms(spark, d)
+    return tg.pair_counts(terms.where(F.col("seq") < n)).where("c >= 2")
 
 
 def sliding_cooccur(spark, d):
@@ -106,59 +117,51 @@ def sliding_cooccur(spark, d):
 
 
 def npmi_edges(spark, d):
-    _, terms, _ = _event_terms(spark, d)
-    return _r(tg.npmi_edges(terms.where(f"seq < {PAST}"), PAST).where("a < b"))
+    _, terms, _, n = _event_terms(spark, d)
+    return _r(tg.npmi_edges(terms.where(F.col("seq") < n), n).where("a < b"))
 
 
-def _rate(terms, docs):
-    return docs.where(f"seq < {PAST}").agg(F.avg("y")).collect()[0][0] or 0.0
+def _rate(docs, n):
+    return docs.where(F.col("seq") < n).agg(F.avg("y")).collect()[0][0] or 0.0
 
 
 def term_risk_propagated(spark, d):
-    docs, terms, _ = _event_terms(spark, d)
-    past = terms.where(f"seq < {PAST}")
-    base = tg.term_risk(past, _rate(terms, docs))
-    return _r(tg.propagate(base, tg.npmi_edges(past, PAST), 3, 0.6))
+    docs, terms, _, n = _event_terms(spark, d)
+    past = terms.where(F.col("seq") < n)
+    return _r(tg.propagate(tg.term_risk(past, _rate(docs, n)), tg.npmi_edges(past, n), 3, 0.6))
 
 
 def textrank_window4(spark, d):
-    docs = _docs(spark, d).where("seq < 60").select("id", F.transform("toks", lambda t: t["term"]).alias("ts"))
+    docs = _docs(spark, d).select("id", F.transform("toks", lambda t: t["term"]).alias("ts"))
     return _r(tg.textrank(docs, "id", "ts", iterations=3))
 
 
-def twidf_features(spark, d):
+def twidf_features(spark, d, iterations=10):
     """Centrality by idf for terms of the vocabulary, ten steps of the walk."""
-    docs, _, vocab = _event_terms(spark, d)
+    docs, _, vocab, _ = _event_terms(spark, d)
     kept = docs.select("id", F.transform("toks", lambda t: t["term"]).alias("ts"))
-    return tg.textrank(kept, "id", "ts", iterations=10).join(vocab, "term").select("id", "term", (F.col("centrality") * F.col("idf")).alias("w"))
+    return _r(tg.textrank(kept, "id", "ts", iterations=iterations).join(vocab, "term").select("id", "term", (F.col("centrality") * F.col("idf")).alias("w")), 9)
 
 
 def mentions_top20(spark, d):
-    return tg.top_terms(twidf_features(spark, d), 20)
+    return tg.top_terms(twidf_features(spark, d).withColumn("w", F.round("w", 6)), 20).withColumn("rank", F.col("rank").cast("long"))
 
 
 def typed_mass(spark, d):
     """Prior and mass by kind with df-idf weights (centrality 1)."""
-    docs, terms, vocab = _event_terms(spark, d)
-    past = terms.where(f"seq < {PAST}")
-    rate = _rate(terms, docs)
-    risk = tg.term_risk(past, rate).withColumnRenamed("base", "risk")
+    docs, terms, vocab, n = _event_terms(spark, d)
+    rate = _rate(docs, n)
+    risk = tg.term_risk(terms.where(F.col("seq") < n), rate).withColumnRenamed("base", "risk")
     kinds = tg.first_kind(tg.positions(docs, "id", "toks", ("seq",)))
     w = terms.join(vocab, "term").select("id", "term", F.col("idf").alias("w"))
     return _r(tg.text_features(w, kinds, risk, rate, docs.select("id")))
 
 
 def online_text_prior(spark, d):
-    """The text prior of the events of one block with everything from before the block, four steps, damping a half."""
-    docs, _, _ = _event_terms(spark, d)
-    terms = docs.select("id", "seq", "y", F.explode(F.array_distinct(F.transform("toks", lambda t: t["term"]))).alias("term"))
-    past = terms.where(f"seq < {PAST}")
-    rate = _rate(terms, docs)
-    risk = tg.propagate(tg.term_risk(past, rate), tg.npmi_edges(past, PAST, 2, 0.3), 2, 0.5)
-    block = terms.where(f"seq >= {PAST} AND seq < {PAST + 100}")
-    j = block.join(risk, "term", "left").groupBy("id").agg(F.avg(F.coalesce("risk", F.lit(rate))).alias("prior"))
-    asked = docs.where(f"seq >= {PAST} AND seq < {PAST + 100}").select("id")
-    return asked.join(j, "id", "left").select("id", F.round(F.coalesce("prior", F.lit(rate)), 6).alias("prior"))
+    """The text prior of every event after the warm-up, refreshed with everything before its block; two steps, damping a half."""
+    docs = durable(_docs(spark, d))
+    n = docs.count()
+    return _r(tg.online_prior(_all_terms(docs), docs.select("id", "seq", "y"), PROTOCOL.starts(n), PROTOCOL.block_length(n), iterations=2))
 
 
 def repeated_tokens(spark, d):
@@ -175,8 +178,9 @@ def stored_terms_refreshed(spark, d):
 
 
 def jitline_vocab(spark, d):
-    """The 2,000 most frequent typed tokens of the first PAST events, by (-df, token)."""
-    docs = _docs(spark, d).where(f"seq < {PAST}")
+    """The 2,000 most frequent typed tokens of the training events, by (-df, token)."""
+    docs = durable(_docs(spark, d))
+    docs = docs.where(F.col("seq") < _past(docs))
     t = docs.select("id", F.explode(F.array_distinct(F.transform("toks", lambda t: F.concat_ws(":", t["kind"], t["term"])))).alias("token"))
     return t.groupBy("token").agg(F.count(F.lit(1)).alias("df")).orderBy(F.desc("df"), "token").limit(2000)
 
@@ -230,26 +234,39 @@ _INTENT = (
     + " END AS intent FROM (SELECT commit_id, " + ", ".join(f"{h} AS h_{k}" for k, h in _HITS.items()) + " FROM (SELECT commit_id, lower(coalesce(message, '')) AS m FROM held)))"
 )
 _DOCS = "dc AS MATERIALIZED (SELECT id, seq, y, coalesce(" + _WORDS.format(c="message") + ", [])[1:4000] AS ts FROM ev)"
-_VOC = """tm AS (SELECT DISTINCT id, seq, y, unnest(ts) AS term FROM dc), vc AS MATERIALIZED (SELECT term, count(*) AS df, ln(301.0 / (1 + count(*))) + 1 AS idf FROM tm WHERE seq < 300 GROUP BY term HAVING count(*) >= 3),
-et AS MATERIALIZED (SELECT tm.* FROM tm WHERE term IN (SELECT term FROM vc))"""
+_VOC = """np_ AS MATERIALIZED (SELECT floor(count(*) * 0.7)::BIGINT AS n FROM ev), tm AS MATERIALIZED (SELECT DISTINCT id, seq, y, unnest(ts) AS term FROM dc),
+vc AS MATERIALIZED (SELECT term, count(*) AS df, ln((1.0 + any_value(n)) / (1 + count(*))) + 1 AS idf FROM tm, np_ WHERE seq < n GROUP BY term HAVING count(*) >= 3),
+et AS MATERIALIZED (SELECT tm.*, seq < n AS past FROM tm, np_ WHERE term IN (SELECT term FROM vc))"""
 
 
-def _npmi(src, least):
-    return f"""oc AS (SELECT term, count(*) AS n FROM {src} WHERE seq < 300 GROUP BY term), pr AS (SELECT x.term AS a, z.term AS b, count(*) AS c FROM {src} x JOIN {src} z ON z.id = x.id AND x.term < z.term WHERE x.seq < 300 GROUP BY ALL HAVING count(*) >= 2),
-np AS (SELECT * FROM (SELECT pr.a, pr.b, CASE WHEN c = 300 THEN 1.0 ELSE ln(c * 300.0 / (oa.n * ob.n)) / -ln(c / 300.0) END AS npmi FROM pr JOIN oc oa ON oa.term = pr.a JOIN oc ob ON ob.term = pr.b) WHERE npmi >= {least})"""
+def _npmi(least):
+    return f"""oc AS (SELECT term, count(*) AS n FROM et WHERE past GROUP BY term), pr AS (SELECT x.term AS a, z.term AS b, count(*) AS c FROM et x JOIN et z ON z.id = x.id AND x.term < z.term WHERE x.past GROUP BY ALL HAVING count(*) >= 2),
+np AS (SELECT * FROM (SELECT pr.a, pr.b, CASE WHEN c = np_.n THEN 1.0 ELSE ln(c * np_.n::DOUBLE / (oa.n * ob.n)) / -ln(c / np_.n::DOUBLE) END AS npmi FROM pr JOIN oc oa ON oa.term = pr.a JOIN oc ob ON ob.term = pr.b, np_) WHERE npmi >= {least})"""
 
 
-def _prop(src, steps, damp):
-    out = [f"""nx AS MATERIALIZED (SELECT a, b, npmi / sum(npmi) OVER (PARTITION BY a) AS p FROM (SELECT a, b, npmi FROM np UNION ALL SELECT b, a, npmi FROM np)), gr AS (SELECT avg(y) AS g FROM dc WHERE seq < 300),
-    k0 AS MATERIALIZED (SELECT term, (sum(y) + 5 * (SELECT g FROM gr)) / (count(*) + 5) AS risk FROM {src} WHERE seq < 300 GROUP BY term)"""]
+def _prop(steps, damp):
+    out = [f"""nx AS MATERIALIZED (SELECT a, b, npmi / sum(npmi) OVER (PARTITION BY a) AS p FROM (SELECT a, b, npmi FROM np UNION ALL SELECT b, a, npmi FROM np)), gr AS (SELECT avg(y) AS g FROM dc, np_ WHERE seq < n),
+    k0 AS MATERIALIZED (SELECT term, (sum(y) + 5 * (SELECT g FROM gr)) / (count(*) + 5) AS risk FROM et WHERE past GROUP BY term)"""]
     out += [f"k{i} AS MATERIALIZED (SELECT k0.term, CASE WHEN q.near IS NULL THEN k0.risk ELSE {1 - damp} * k0.risk + {damp} * q.near END AS risk FROM k0 LEFT JOIN (SELECT a, sum(p * risk) AS near FROM nx JOIN k{i - 1} x ON x.term = nx.b GROUP BY a) q ON q.a = k0.term)" for i in range(1, steps + 1)]
     return ", ".join(out)
 
 
-_TR = ["""tp AS (SELECT id, i, ts[i] AS t FROM dc, LATERAL (SELECT unnest(range(1, len(ts) + 1)) AS i) WHERE seq < 60),
+# The online prior: everything once more for every block start s.
+_ONLINE = ["tm AS MATERIALIZED (SELECT DISTINCT id, seq, y, unnest(ts) AS term FROM dc)", PROTOCOL_SQL, """gr AS MATERIALIZED (SELECT s, avg(y) AS g, count(*)::DOUBLE AS n FROM dc JOIN st ON seq < s GROUP BY s),
+oc AS MATERIALIZED (SELECT s, term, count(*) AS n, sum(y) AS bad FROM tm JOIN st ON seq < s GROUP BY s, term), pr AS (SELECT s, x.term AS a, z.term AS b, count(*) AS c FROM tm x JOIN tm z ON z.id = x.id AND x.term < z.term JOIN st ON x.seq < s GROUP BY ALL HAVING count(*) >= 2),
+np AS (SELECT * FROM (SELECT pr.s, pr.a, pr.b, CASE WHEN c = gr.n THEN 1.0 ELSE ln(c * gr.n / (oa.n * ob.n)) / -ln(c / gr.n) END AS npmi FROM pr JOIN gr USING (s) JOIN oc oa ON oa.s = pr.s AND oa.term = pr.a JOIN oc ob ON ob.s = pr.s AND ob.term = pr.b) WHERE npmi >= 0.3),
+nx AS MATERIALIZED (SELECT s, a, b, npmi / sum(npmi) OVER (PARTITION BY s, a) AS p FROM (SELECT s, a, b, npmi FROM np UNION ALL SELECT s, b, a, npmi FROM np)),
+k0 AS MATERIALIZED (SELECT s, term, (bad + 5 * g) / (oc.n + 5) AS risk FROM oc JOIN gr USING (s))"""]
+_ONLINE += [f"k{i} AS MATERIALIZED (SELECT k0.s, k0.term, CASE WHEN q.near IS NULL THEN k0.risk ELSE 0.5 * k0.risk + 0.5 * q.near END AS risk FROM k0 LEFT JOIN (SELECT nx.s, a, sum(p * risk) AS near FROM nx JOIN k{i - 1} x ON x.s = nx.s AND x.term = nx.b GROUP BY nx.s, a) q ON q.s = k0.s AND q.a = k0.term)" for i in (1, 2)]
+
+
+def _rank(steps):
+    return [*_TR, *(f"q{i} AS MATERIALIZED (SELECT tn.id, tn.term, tn.n, 0.15 / tn.n + 0.85 * coalesce(m, 0) AS r FROM tn LEFT JOIN (SELECT tw.id, b, sum(p * r) AS m FROM tw JOIN q{i - 1} q ON q.id = tw.id AND q.term = tw.a GROUP BY tw.id, b) g ON g.id = tn.id AND g.b = tn.term)" for i in range(1, steps + 1))]
+
+
+_TR = ["""tp AS (SELECT id, i, ts[i] AS t FROM dc, LATERAL (SELECT unnest(range(1, len(ts) + 1)) AS i)),
 tn AS (SELECT id, t AS term, count(*) OVER (PARTITION BY id) AS n FROM (SELECT DISTINCT id, t FROM tp)), te AS (SELECT x.id, x.t AS a, z.t AS b FROM tp x JOIN tp z ON z.id = x.id AND abs(z.i - x.i) < 4 AND x.t <> z.t),
 tw AS MATERIALIZED (SELECT id, a, b, count(*) / sum(count(*)) OVER (PARTITION BY id, a) AS p FROM te GROUP BY id, a, b), q0 AS (SELECT id, term, n, 1.0 / n AS r FROM tn)"""]
-_TR += [f"q{i} AS MATERIALIZED (SELECT tn.id, tn.term, tn.n, 0.15 / tn.n + 0.85 * coalesce(m, 0) AS r FROM tn LEFT JOIN (SELECT tw.id, b, sum(p * r) AS m FROM tw JOIN q{i - 1} q ON q.id = tw.id AND q.term = tw.a GROUP BY tw.id, b) g ON g.id = tn.id AND g.b = tn.term)" for i in (1, 2, 3)]
 _DAY = "((floor({t} / 86400) + 3)::BIGINT % 7)"
 _HOUR = "(floor({t} / 3600)::BIGINT % 24)"
 
@@ -276,15 +293,17 @@ ORACLE = {
       round(ln(1 + len(list_distinct(regexp_extract_all(coalesce(message, ''), '{tx.MENTIONED_CODE}')))) - ln(1 + t), 6) + 0.0::DOUBLE AS grounding_gap, {_clock('ts')}
       FROM (SELECT ev.*, it.intent, coalesce(q.a, 0) AS a, coalesce(q.r, 0) AS r, coalesce(q.t, 0) AS t FROM ev JOIN it ON it.commit_id = ev.id LEFT JOIN (SELECT commit_id, count(*) FILTER (op = 'ADDS') AS a, count(*) FILTER (op = 'REMOVES') AS r, count(*) AS t FROM chg WHERE op IN ('ADDS', 'REMOVES', 'UPDATES', 'MOVES') AND ast_type IS NOT NULL GROUP BY commit_id) q ON q.commit_id = ev.id)""", _INTENT),
     "calendar_features": sql(f"SELECT commit_id, strftime(make_timestamp(authored_timestamp * 1000000), '%Y-%m-%dT%H:%M:%S+00:00') AS at, {_clock('authored_timestamp')} FROM held"),
-    "ngram_cooccur": sql("SELECT x.term AS a, z.term AS b, count(*) AS c FROM et x JOIN et z ON z.id = x.id AND x.term < z.term WHERE x.seq < 300 GROUP BY ALL HAVING count(*) >= 2", _DOCS, _VOC),
+    "ngram_cooccur": sql("SELECT x.term AS a, z.term AS b, count(*) AS c FROM et x JOIN et z ON z.id = x.id AND x.term < z.term WHERE x.past GROUP BY ALL HAVING count(*) >= 2", _DOCS, _VOC),
     "sliding_cooccur": sql("SELECT least(a, b) AS a, greatest(a, b) AS b, count(*) AS w FROM (SELECT x.t AS a, z.t AS b FROM tp x JOIN tp z ON z.id = x.id AND z.i > x.i AND z.i - x.i < 4 AND x.t <> z.t) GROUP BY 1, 2", _DOCS, "tp AS (SELECT id, i, ts[i] AS t FROM dc, LATERAL (SELECT unnest(range(1, len(ts) + 1)) AS i))"),
-    "npmi_edges": sql("SELECT a, b, round(npmi, 6) AS npmi FROM np", _DOCS, _VOC, _npmi("et", 0.15)),
-    "term_risk_propagated": sql("SELECT term, round(risk, 6) AS risk FROM k3", _DOCS, _VOC, _npmi("et", 0.15), _prop("et", 3, 0.6)),
-    "textrank_window4": sql("SELECT id, term, round(CASE WHEN n = 1 THEN 1 ELSE r END, 6) AS centrality FROM q3", _DOCS, *_TR),
-    "typed_mass": sql("SELECT dc.id, round(coalesce(prior, (SELECT g FROM gr)), 6) AS prior, " + ", ".join(f"round(coalesce(m_{k}, 0), 6) AS mass_{k}" for k in tx.KINDS) + " FROM dc LEFT JOIN (SELECT id, sum(idf * risk) / sum(idf) AS prior, " + ", ".join(f"sum(CASE WHEN kind = '{k}' THEN idf ELSE 0 END) AS m_{k}" for k in tx.KINDS) + f" FROM (SELECT et.id, vc.idf, k0.risk, {_KIND.replace('term', 'et.term')} AS kind FROM et JOIN vc USING (term) JOIN k0 ON k0.term = et.term) GROUP BY id) q ON q.id = dc.id", _DOCS, _VOC, _npmi("et", 0.15), _prop("et", 0, 0.6)),
-    "online_text_prior": sql("SELECT dc.id, round(coalesce(avg(coalesce(k2.risk, (SELECT g FROM gr))) FILTER (tm.term IS NOT NULL), (SELECT g FROM gr)), 6) AS prior FROM dc LEFT JOIN tm ON tm.id = dc.id LEFT JOIN k2 ON k2.term = tm.term WHERE dc.seq >= 300 AND dc.seq < 400 GROUP BY dc.id", _DOCS, _VOC, _npmi("tm", 0.3), _prop("tm", 2, 0.5)),
+    "npmi_edges": sql("SELECT a, b, round(npmi, 6) AS npmi FROM np", _DOCS, _VOC, _npmi(0.15)),
+    "term_risk_propagated": sql("SELECT term, round(risk, 6) AS risk FROM k3", _DOCS, _VOC, _npmi(0.15), _prop(3, 0.6)),
+    "textrank_window4": sql("SELECT id, term, round(CASE WHEN n = 1 THEN 1 ELSE r END, 6) AS centrality FROM q3", _DOCS, *_rank(3)),
+    "typed_mass": sql("SELECT dc.id, round(coalesce(prior, (SELECT g FROM gr)), 6) AS prior, " + ", ".join(f"round(coalesce(m_{k}, 0), 6) AS mass_{k}" for k in tx.KINDS) + " FROM dc LEFT JOIN (SELECT id, sum(idf * risk) / sum(idf) AS prior, " + ", ".join(f"sum(CASE WHEN kind = '{k}' THEN idf ELSE 0 END) AS m_{k}" for k in tx.KINDS) + f" FROM (SELECT et.id, vc.idf, k0.risk, {_KIND.replace('term', 'et.term')} AS kind FROM et JOIN vc USING (term) JOIN k0 ON k0.term = et.term) GROUP BY id) q ON q.id = dc.id", _DOCS, _VOC, _npmi(0.15), _prop(0, 0.6)),
+    "online_text_prior": sql("SELECT dc.id, dc.seq, round(coalesce(avg(coalesce(k2.risk, g)) FILTER (tm.term IS NOT NULL), any_value(g)), 6) AS prior FROM dc JOIN st ON dc.seq >= st.s AND dc.seq < st.s + m JOIN gr ON gr.s = st.s LEFT JOIN tm ON tm.id = dc.id LEFT JOIN k2 ON k2.s = st.s AND k2.term = tm.term GROUP BY dc.id, dc.seq", _DOCS, *_ONLINE),
+    "twidf_features": sql("SELECT id, term, round(CASE WHEN n = 1 THEN 1 ELSE r END * idf, 9) AS w FROM q10 JOIN vc USING (term)", _DOCS, _VOC, *_rank(10)),
+    "mentions_top20": sql("SELECT * FROM (SELECT id, term, w, row_number() OVER (PARTITION BY id ORDER BY w DESC, term) AS rank FROM (SELECT id, term, round(round(CASE WHEN n = 1 THEN 1 ELSE r END * idf, 9), 6) AS w FROM q10 JOIN vc USING (term))) WHERE rank <= 20", _DOCS, _VOC, *_rank(10)),
     "stored_terms_refreshed": sql("SELECT t.id, count(DISTINCT tk.commit_id) AS df FROM (SELECT DISTINCT id, text FROM terms) t LEFT JOIN tk ON tk.term = t.text GROUP BY t.id, t.text", _TK),
-    "jitline_vocab": sql(f"SELECT {_KIND} || ':' || term AS token, count(*) AS df FROM tm WHERE seq < 300 GROUP BY term ORDER BY df DESC, token LIMIT 2000", _DOCS, _VOC),
+    "jitline_vocab": sql(f"SELECT {_KIND} || ':' || term AS token, count(*) AS df FROM tm, np_ WHERE seq < n GROUP BY term ORDER BY df DESC, token LIMIT 2000", _DOCS, _VOC),
     "vocab_encode": sql("SELECT id, array_to_string(list_concat(list_transform(ts[1:16], lambda t: coalesce(m[t], 1)), list_transform(range(16), lambda x: 0))[1:16], ' ') AS ids FROM dc, (SELECT map(list(w), list(k)) AS m FROM vo)", _DOCS, "vo AS (SELECT w, row_number() OVER (ORDER BY count(*) DESC, w) + 1 AS k FROM (SELECT unnest(ts) AS w FROM dc) GROUP BY w ORDER BY count(*) DESC, w LIMIT 98)"),
     "offset_positions": "SELECT doc_id, length(b) - length(replace(b, chr(10), '')) + 1 AS line, length(string_split(b, chr(10))[-1]) AS col FROM (SELECT doc_id, text[1:length(text) // 2] AS b FROM documents WHERE text IS NOT NULL)",
     "short_names": "SELECT DISTINCT value, value[1:8] AS short FROM ast_nodes WHERE value IS NOT NULL",
