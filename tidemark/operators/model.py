@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from functools import reduce
 
+import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import IDF, PCA, CountVectorizer, HashingTF, NGram, Normalizer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.online import prequential_linear
 from tidemark.session import durable
 
 
@@ -85,7 +87,7 @@ def prequential(df: DataFrame, make: Callable[[], Pipeline], first: int, block:
 
 def stacked(scores: DataFrame, columns: list[str], first: int, block: int = 200, gap: int = 50, l1: bool = True) -> DataFrame:
     """Fusion of score columns by a standardised linear head, learnt prequentially with delayed labels."""
-    return prequential(scores, lambda: scaled(columns, logistic(0.01, l1)), first, block, gap)
+    return prequential_linear(scores, columns, first, block, gap, inverse=0.2 if l1 else 1.0, l1=l1)
 
 
 def static_split(df: DataFrame, make: Callable[[], Pipeline], share: float = 0.7) -> DataFrame:
@@ -99,24 +101,27 @@ def static_split(df: DataFrame, make: Callable[[], Pipeline], share: float = 0.7
 def sgd_along(df: DataFrame, columns: list[str], first: int, block: int = 200, rate: float = 0.5, steps: int = 5) -> DataFrame:
     """Log-loss gradient steps block by block: score a block, then let its labels move the weights.
 
-    Gradients are sums over the block taken by Spark; the driver holds one weight per column.
+    The weights of a block depend on those of the block before, so blocks come one after the other: two jobs
+    a block, one that moves the weights, on the block's rows alone. Their number is bounded by the block length the
+    protocol gives. The driver holds one weight per column.
     """
-    last = df.agg(F.max("seq")).collect()[0][0]
-    w = [0.0] * (len(columns) + 1)
-    parts = []
-
-    def margin() -> Column:
-        return sum((F.lit(v) * F.col(c) for v, c in zip(w[1:], columns)), F.lit(w[0]))
-
-    for start in range(0, (last if last is not None else -1) + 1, block):
-        rows = df.where((F.col("seq") >= start) & (F.col("seq") < start + block))
-        if start + block > first:
-            parts.append(durable(rows.where(F.col("seq") >= first).select("id", "seq", "y", (1 / (1 + F.exp(-margin()))).alias("score"))))
+    rows = durable(df.select("id", "seq", "y", F.floor(F.col("seq") / block).cast("long").alias("b_"), F.array(*[F.col(c).cast("double") for c in columns]).alias("x_")).repartitionByRange("seq"))
+    last = rows.agg(F.max("seq")).collect()[0][0]
+    if last is None:
+        return df.select("id", "seq", "y", F.lit(0.5).alias("score")).limit(0)
+    w = np.zeros(len(columns) + 1)
+    held = []
+    for b in range(0, last // block + 1):
+        held.append(w)
+        part = rows.where(F.col("b_") == b)
         for _ in range(steps):
-            err = F.col("y") - 1 / (1 + F.exp(-margin()))
-            g = rows.agg(F.avg(err).alias("g0"), *[F.avg(err * F.col(c)).alias(f"g{i + 1}") for i, c in enumerate(columns)]).collect()[0]
-            w = [v + rate * (x or 0.0) for v, x in zip(w, g)]
-    return reduce(DataFrame.unionByName, parts) if parts else df.select("id", "seq", "y", F.lit(0.5).alias("score")).limit(0)
+            margin = F.lit(float(w[0])) + sum((F.lit(float(v)) * F.get("x_", F.lit(i)) for i, v in enumerate(w[1:])), F.lit(0.0))
+            err = F.col("y") - 1 / (1 + F.exp(-margin))
+            g = part.agg(F.avg(err), *[F.avg(err * F.get("x_", F.lit(i))) for i in range(len(columns))]).collect()[0]
+            w = w + rate * np.array([x or 0.0 for x in g])
+    table = df.sparkSession.createDataFrame([(b, [float(x) for x in v]) for b, v in enumerate(held)], "b_ long, w_ array<double>")
+    margin = F.aggregate(F.zip_with(F.concat(F.array(F.lit(1.0)), "x_"), "w_", lambda x, v: x * v), F.lit(0.0), lambda a, x: a + x)
+    return rows.where(F.col("seq") >= first).join(F.broadcast(table), "b_").select("id", "seq", "y", (1 / (1 + F.exp(-margin))).alias("score"))  # one row a block
 
 
 def projected(vectors: DataFrame, column: str, k: int = 2) -> DataFrame:

@@ -138,6 +138,16 @@ def expanding_z(df: DataFrame, seq: str, x: str, name: str, least: int = 30, flo
     return out.withColumn(name, F.when(F.col("z_n_") > least, (v - mean) / F.sqrt(var)).otherwise(0.0)).drop("z_n_", "z_s_", "z_q_")
 
 
+def expanding_zs(df: DataFrame, seq: str, columns: list[str], least: int = 30, floor: float = 1e-9, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """:func:`expanding_z` of several columns in one pass, as ``z_`` and the column's name; nulls count as 0."""
+    v = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns}
+    facts = {"z_n_": ("sum", F.lit(1))} | {f"s_{c}_": ("sum", x) for c, x in v.items()} | {f"q_{c}_": ("sum", x * x) for c, x in v.items()}
+    out = strict_past(df, [], seq, facts, block_rows)
+    mean = {c: F.try_divide(f"s_{c}_", "z_n_") for c in columns}
+    sd = {c: F.sqrt(F.greatest(F.try_divide(f"q_{c}_", "z_n_") - mean[c] * mean[c], F.lit(floor))) for c in columns}
+    return out.withColumns({f"z_{c}": F.when(F.col("z_n_") > least, (v[c] - mean[c]) / sd[c]).otherwise(0.0) for c in columns}).drop(*facts)
+
+
 def first_use(df: DataFrame, keys: list[str], seq: str, name: str = "is_first") -> DataFrame:
     """Add 1 to the first row of each combination of keys, else 0."""
     first = fresh(df, "first_")

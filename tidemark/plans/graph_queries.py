@@ -147,21 +147,82 @@ def kge_foldin(spark, d, parts=4):
     return reduce(DataFrame.unionByName, out)
 
 
+SNAPSHOTS = 8
+POSITIONS = ["pagerank", "rev_pagerank", "core", "in_deg", "out_deg"]
+
+
+def _snapshot_edges(hubs, edges, n):
+    """Edges between an event's files and what depends on them or they need, of the events before each snapshot: (snapshot, src, dst).
+
+    Snapshot s is used by the events of the s-th eighth of the stream.
+    """
+    near = tiers.import_tiers(hubs, edges).where("tier IN ('T1_dep', 'T1_dry')").select("id", "other").distinct()
+    touched = near.join(hubs.select("id", "seq", "hub"), "id").withColumn("made", F.floor(F.col("seq") * SNAPSHOTS / n))
+    pair = touched.groupBy("hub", "other").agg(F.min("made").alias("made"))
+    real = edges.where("src <> dst").select("src", "dst").distinct()
+    dep = pair.join(real.withColumnsRenamed({"src": "other", "dst": "hub"}), ["hub", "other"], "left_semi").select(F.col("other").alias("src"), F.col("hub").alias("dst"), "made")
+    dry = pair.join(real.withColumnsRenamed({"src": "hub", "dst": "other"}), ["hub", "other"], "left_semi").select(F.col("hub").alias("src"), F.col("other").alias("dst"), "made")
+    first = dep.unionByName(dry).groupBy("src", "dst").agg(F.min("made").alias("made")).where(F.col("made") < SNAPSHOTS - 1)
+    tag = lambda c: F.concat_ws("#", "s", c).alias(c)
+    return durable(first.withColumn("s", F.explode(F.sequence(F.col("made") + 1, F.lit(SNAPSHOTS - 1).cast("long")))).select(tag("src"), tag("dst")))
+
+
+def _snapshot_positions(e, iterations=40):
+    """Place of every file in the graph of each snapshot; all snapshots are parts of one graph, so each rank is scaled by its own part's size."""
+    rank = g.pagerank(e, iterations).withColumnRenamed("rank", "pagerank")
+    back = g.pagerank(e, iterations, reverse=True).withColumnRenamed("rank", "rev_pagerank")
+    return rank.join(back, "node").join(g.kcore(e), "node").join(g.degrees(e), "node")
+
+
+def topology_positions(hubs, edges, n, iterations=40):
+    """``id`` and POSITIONS: where the event's files lie in the graph as it was at the start of the event's snapshot.
+
+    Logarithms of the mean PageRank and reverse PageRank (times the number of nodes) and of the mean degrees, and the mean core
+    number, over those of the event's files that the graph has.
+    """
+    e = _snapshot_edges(hubs, edges, n)
+    total = g.nodes_of(e).count()
+    at = F.concat_ws("#", F.floor(F.col("seq") * SNAPSHOTS / n), "hub").alias("node")
+    own = hubs.select("id", at).join(_snapshot_positions(e, iterations), "node").groupBy("id").agg(*[F.avg(c).alias(c) for c in POSITIONS])
+    log = lambda c, k=1.0: F.log1p(F.col(c) * k).alias(c)
+    return own.select("id", log("pagerank", float(max(total, 1))), log("rev_pagerank", float(max(total, 1))), "core", log("in_deg"), log("out_deg"))
+
+
 def topology_snapshots(spark, d):
-    """Degrees of the co-change graph of the files at the start of each of four snapshots, past only."""
+    """Degrees and core numbers of the files at the start of each of eight snapshots, past only."""
     ev, hubs = hub_events(spark, d)
-    n = ev.count()
-    pairs = tiers.cochange_pairs(hubs).where("a < b").withColumn("made", F.floor(F.col("seq") * 4 / n)).groupBy("a", "b").agg(F.min("made").alias("made"))
-    seen = pairs.withColumn("snapshot", F.explode(F.sequence(F.col("made") + 1, F.lit(4).cast("long")))).where("snapshot < 4")
-    both = seen.select("snapshot", F.col("a").alias("node")).unionAll(seen.select("snapshot", F.col("b").alias("node")))
-    return both.groupBy("snapshot", "node").agg(F.count(F.lit(1)).alias("degree"))
+    e = _snapshot_edges(hubs, _edges(spark, d), ev.count())
+    out = g.degrees(e).join(g.kcore(e), "node")
+    return out.select(F.substring_index("node", "#", 1).cast("long").alias("snapshot"), F.expr("substring(node, instr(node, '#') + 1)").alias("node"), "in_deg", "out_deg", F.col("core").cast("long").alias("core"))
+
+
+def topology_features(spark, d):
+    """Place, spread of risk and shape per event, on the snapshot before it."""
+    ev, hubs = hub_events(spark, d)
+    n, edges = ev.count(), _edges(spark, d)
+    e = _snapshot_edges(hubs, edges, n)
+    at = F.concat_ws("#", F.floor(F.col("seq") * SNAPSHOTS / n), "hub")
+    own = durable(hubs.select("id", at.alias("hub")))
+    # risk: buggy events of a file before each snapshot; every snapshot gets a share of one walk
+    made = hubs.where("y = 1").withColumn("made", F.floor(F.col("seq") * SNAPSHOTS / n)).where(F.col("made") < SNAPSHOTS - 1)
+    mass = made.withColumn("s", F.explode(F.sequence(F.col("made") + 1, F.lit(SNAPSHOTS - 1).cast("long")))).groupBy(F.concat_ws("#", "s", "hub").alias("node")).agg(F.count(F.lit(1)).alias("m"))
+    mass = mass.join(g.nodes_of(e), "node", "left_semi")
+    part = F.substring_index("node", "#", 1)
+    shared = durable(mass.withColumn("s", part).join(mass.groupBy(part.alias("s")).agg(F.sum("m").alias("all_")), "s").select("node", (F.col("m") / F.col("all_")).alias("m")))
+    risk = g.risk_walk(e, shared, iterations=10).join(g.nodes_of(e).groupBy(part.alias("s_")).agg(F.count(F.lit(1)).alias("n_")), F.col("s_") == part).select(F.col("node").alias("hub"), "risk", "n_")
+    walks = shared.select(F.countDistinct(part)).collect()[0][0] or 1
+    spread = own.join(risk, "hub").groupBy("id").agg(F.avg(F.col("risk") * walks * F.col("n_")).alias("r1"), F.max(F.col("risk") * walks * F.col("n_")).alias("r2"))
+    shape = g.dependency_shape(own, e)
+    out = ev.select("id", "seq").join(topology_positions(hubs, edges, n, 10), "id", "left").join(spread, "id", "left").join(shape, "id", "left")
+    out = out.withColumns({"risk_mean": F.log1p("r1"), "risk_max": F.log1p("r2")}).drop("r1", "r2").na.fill(0.0)
+    return _r(out)
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         incidence_idf, token_incidence, transition_matrix, rn_block_scores, lp_3iter, ppr_seeded_4iter, ppr_strict_past, pagerank_5iter, reverse_pagerank_5iter, degree_profile,
-        risk_diffusion, kcore, wcc_labels, dependency_shape, ppmi_matrix, dw_embedding, spectral_embedding, kge_foldin, topology_snapshots,
+        risk_diffusion, kcore, wcc_labels, dependency_shape, ppmi_matrix, dw_embedding, spectral_embedding, kge_foldin, topology_snapshots, topology_features,
     )
 }
 
@@ -209,6 +270,11 @@ def _walks(seed, steps, t="tr", own=False, a=0.15):
     return ", ".join(out)
 
 
+# Core numbers as the limit of h-indices, with enough steps for the test tables.
+_STEPS = 12
+_CORES = [f"""c{i} AS MATERIALIZED (SELECT s, node, max(least(a, k)) AS c FROM (SELECT nb2.s, nb2.u AS node, q.c AS a, row_number() OVER (PARTITION BY nb2.s, nb2.u ORDER BY q.c DESC) AS k
+  FROM nb2 JOIN c{i - 1} q ON q.s = nb2.s AND q.node = nb2.v) GROUP BY s, node)""" for i in range(1, _STEPS + 1)]
+
 ORACLE = {
     "incidence_idf": sql("SELECT id, hub, df, round(w, 6) AS w FROM inc", _INC),
     "token_incidence": sql("SELECT id, token AS hub, count(*) OVER (PARTITION BY token) AS df, round(n * ln(1 + (SELECT count(*) FROM ev) / count(*) OVER (PARTITION BY token)), 6) AS w FROM tok WHERE id IN (SELECT id FROM ev)", _TOK),
@@ -236,6 +302,12 @@ ORACLE = {
       "n0 AS (SELECT DISTINCT id, hub AS node FROM hub WHERE hub IN (SELECT src FROM e1 UNION SELECT dst FROM e1))", "n2 AS (SELECT * FROM n0 UNION SELECT n0.id, e1.dst FROM n0 JOIN e1 ON e1.src = n0.node)",
       "nn AS MATERIALIZED (SELECT * FROM n2 WHERE id IN (SELECT id FROM n2 GROUP BY id HAVING count(*) >= 2))", "su AS MATERIALIZED (SELECT nn.id, e1.src, e1.dst FROM nn JOIN e1 ON e1.src = nn.node JOIN nn n3 ON n3.id = nn.id AND n3.node = e1.dst)",
       "rc AS (SELECT id, node AS a, node AS b FROM nn UNION SELECT rc.id, rc.a, s.v FROM rc JOIN (SELECT id, src AS u, dst AS v FROM su UNION SELECT id, dst, src FROM su) s ON s.id = rc.id AND s.u = rc.b)").replace("WITH ", "WITH RECURSIVE ", 1),
-    "topology_snapshots": sql("""SELECT s AS snapshot, node, count(*) AS degree FROM (SELECT a, b, min(seq * 4 // (SELECT count(*) FROM ev)) AS made FROM (SELECT x.hub AS a, z.hub AS b, x.seq FROM hub x JOIN hub z ON z.id = x.id AND x.hub < z.hub) GROUP BY a, b) p
-      JOIN range(1, 4) r(s) ON s > made, LATERAL (SELECT unnest([a, b]) AS node) GROUP BY s, node"""),
+    "topology_snapshots": sql("SELECT s AS snapshot, node, count(*) FILTER (d = 'i') AS in_deg, count(*) FILTER (d = 'o') AS out_deg, any_value(core) AS core FROM (SELECT s, dst AS node, 'i' AS d FROM se UNION ALL SELECT s, src, 'o' FROM se) JOIN co USING (s, node) GROUP BY s, node", _CALLS, _E1,
+      "hs AS (SELECT DISTINCT id, hub, floor(seq * 8 / (SELECT count(*) FROM ev))::BIGINT AS made FROM hub)",
+      # an edge is known from the first event that touches one end and not the other
+      "fe AS (SELECT e1.src, e1.dst, min(h.made) AS made FROM e1 JOIN hs h ON h.hub IN (e1.src, e1.dst) WHERE NOT EXISTS (SELECT 1 FROM hs o WHERE o.id = h.id AND o.hub = CASE WHEN h.hub = e1.src THEN e1.dst ELSE e1.src END) GROUP BY e1.src, e1.dst)",
+      "se AS MATERIALIZED (SELECT s, src, dst FROM fe JOIN range(1, 8) r(s) ON s > made)", "nb2 AS MATERIALIZED (SELECT s, src AS u, dst AS v FROM se UNION SELECT s, dst, src FROM se)",
+      "c0 AS (SELECT s, u AS node, count(*) AS c FROM nb2 GROUP BY s, u)", *_CORES, f"co AS MATERIALIZED (SELECT s, node, c AS core FROM c{_STEPS})"),
+    "kcore": sql("SELECT node, coalesce(core, 0) AS core FROM (SELECT src AS node FROM e1 UNION SELECT dst FROM e1) LEFT JOIN co USING (node)", _CALLS, _E1, "nb2 AS MATERIALIZED (SELECT 0 AS s, src AS u, dst AS v FROM e1 UNION SELECT 0, dst, src FROM e1)",
+      "c0 AS (SELECT s, u AS node, count(*) AS c FROM nb2 GROUP BY s, u)", *_CORES, f"co AS MATERIALIZED (SELECT node, c AS core FROM c{_STEPS})"),
 }

@@ -6,14 +6,26 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
 from tidemark.operators import evaluate as ev
-from tidemark.operators import graph, past
+from tidemark.operators import graph, past, textgraph, tiers
 from tidemark.operators import model as ml
+from tidemark.operators.online import prequential_linear
 from tidemark.plans.base import METRICS, events, hub_events, sql
 from tidemark.plans.eval_queries import _scores
+from tidemark.plans.graph_queries import POSITIONS, topology_positions
+from tidemark.plans.join_queries import _imports, _tokens
 from tidemark.plans.past_queries import _PRIORS
+from tidemark.plans.text_queries import _all_terms, _docs
 from tidemark.session import durable, table
+from tidemark.sources.commitlog import package_of
+from tidemark.spec import PROTOCOL
 
-FIRST, BLOCK = 200, 200
+FIRST = 200
+
+
+def _protocol(df):
+    """Warm-up and block length of the stream."""
+    n = df.count()
+    return PROTOCOL.first_scored(n), PROTOCOL.block_length(n)
 
 
 def _metrics(spark, d):
@@ -21,15 +33,21 @@ def _metrics(spark, d):
 
 
 def prequential_lr(spark, d):
-    return ml.prequential(_metrics(spark, d), lambda: ml.scaled(METRICS, ml.logistic(0.01)), FIRST, BLOCK)
+    """The models of all blocks, fitted on everything before each."""
+    m = _metrics(spark, d)
+    return prequential_linear(m, METRICS, *_protocol(m))
 
 
 def prequential_l1(spark, d):
-    return ml.prequential(_metrics(spark, d), lambda: ml.scaled(METRICS, ml.logistic(0.01, True)), FIRST, BLOCK, gap=50)
+    m = _metrics(spark, d)
+    return prequential_linear(m, METRICS, *_protocol(m), PROTOCOL.gap, inverse=0.2, l1=True)
 
 
 def baseline_forest(spark, d):
-    return ml.prequential(_metrics(spark, d), lambda: ml.scaled(METRICS, ml.forest(20)), FIRST, BLOCK)
+    """A forest has no sums to share between blocks: it is grown anew at most eight times along the stream, on all of the past."""
+    m = _metrics(spark, d)
+    first, block = _protocol(m)
+    return ml.prequential(m, lambda: ml.scaled(METRICS, ml.forest(20)), first, block, refit_every=max(1, -(-len(PROTOCOL.starts(m.count())) // 8)))
 
 
 def baseline_boosting(spark, d):
@@ -38,7 +56,8 @@ def baseline_boosting(spark, d):
 
 def baseline_la(spark, d):
     """One metric only: lines added."""
-    return ml.prequential(_metrics(spark, d), lambda: ml.scaled(["la"], ml.logistic(0.01)), FIRST, BLOCK)
+    m = _metrics(spark, d)
+    return prequential_linear(m, ["la"], *_protocol(m))
 
 
 def baseline_constants(spark, d):
@@ -65,21 +84,104 @@ def jitline_forest(spark, d):
 def sgd_stream(spark, d):
     df = _metrics(spark, d)
     cols = ["la", "ld", "ent", "nf"]
-    return ml.sgd_along(df.select("id", "seq", "y", *[F.log1p(F.greatest(c, F.lit(0.0))).alias(c) for c in cols]), cols, FIRST, BLOCK)
+    return ml.sgd_along(df.select("id", "seq", "y", *[F.log1p(F.greatest(c, F.lit(0.0))).alias(c) for c in cols]), cols, *_protocol(df))
 
 
-def svd_lsa(spark, d):
-    """Factors of the event-token matrix, and a linear head on them."""
+def svd_lsa(spark, d, rank=64):
+    """Factors of the event-token matrix and a linear head on them, both from the first 70 percent; later events are folded in by their tokens."""
     df = _metrics(spark, d)
+    n = df.count()
+    cut = int(n * 0.7)
+    train = df.where(F.col("seq") < cut).select("id")
     cells = df.select("id", F.explode("tokens").alias("hub")).groupBy("id", "hub").agg(F.count(F.lit(1)).cast("double").alias("m"))
-    e = graph.factor_embedding(cells, 8)
-    cols = [f"e{i}" for i in range(8)]
+    e = graph.factor_embedding(cells, rank, fit_rows=train)
+    cols = [f"e{i}" for i in range(rank)]
     wide = df.join(e, "id", "left").select("id", "seq", "y", *[F.coalesce(F.get("embedding", F.lit(i)), F.lit(0.0)).alias(c) for i, c in enumerate(cols)])
-    return ml.static_split(wide, lambda: ml.scaled(cols, ml.logistic(0.01)))
+    return prequential_linear(wide, cols, cut, max(n - cut, 1))
 
 
 def stack_fusion(spark, d):
-    return ml.stacked(_scores(spark, d).select("id", "seq", "y", "s", "t"), ["s", "t"], FIRST, BLOCK, 50)
+    """Two scores by a linear head that starts after the warm-up and the window in which both classes have ten labels."""
+    s = _scores(spark, d).select("id", "seq", "y", "s", "t")
+    first, block = _protocol(s)
+    init = ev.init_window(s, "seq", "y", first, 50, 300, PROTOCOL.init_each)
+    return prequential_linear(s, ["s", "t"], first + init, block, PROTOCOL.gap, train_from=first)
+
+
+def _graph_scores(spark, d, iterations=8):
+    """Scores of every event after the warm-up: rn, lp and ppr on files and developers (f) and on change tokens (t)."""
+    e, hubs = hub_events(spark, d)
+    n = e.count()
+    starts, block, first = PROTOCOL.starts(n), PROTOCOL.block_length(n), PROTOCOL.first_scored(n)
+    people = e.where("actor IS NOT NULL").select("id", "seq", "y", F.concat(F.lit("D:"), "actor").alias("hub"), F.lit(1.0).alias("tf"))
+    core = hubs.select("id", "seq", "y", F.concat(F.lit("F:"), "hub").alias("hub"), F.lit(1.0).alias("tf")).unionByName(people)
+    tokens = _tokens(spark, d).join(e.select("id", "seq", "y"), "id").select("id", "seq", "y", F.concat(F.lit("T:"), "token").alias("hub"), F.col("n").cast("double").alias("tf"))
+    out = e.where(F.col("seq") >= first).select("id", "seq", "y")
+    for name, rows in (("core", core), ("tokens", tokens), ("full", core.unionByName(tokens))):
+        inc = durable(graph.incidence(rows, n, weight="tf"))
+        rn = graph.rn_scores(inc, e, block, first).select("id", F.col("rn").alias(f"{name}_rn"))
+        lp = graph.propagation_blocks(inc, e, starts, block).select("id", F.col("f").alias(f"{name}_lp"))
+        ppr = graph.ppr_blocks(inc, e, starts, block, iterations=iterations).select("id", F.col("score").alias(f"{name}_ppr"))
+        out = durable(out.join(rn, "id", "left").join(lp, "id", "left").join(ppr, "id", "left"))
+    return out, first, block
+
+
+def _fused_metrics(scores, keys):
+    """AUC by midranks, Brier score, and F1 measures at 0.5 per combination of keys."""
+    c = ev.confusion(scores.withColumn("d", (F.col("score") >= 0.5).cast("int")), "y", "d", "score", keys)
+    return c.select(*keys, "tp", "fp", "tn", "fn", *[F.round(m, 6).alias(m) for m in ("macro_f1", "buggy_f1", "g_mean", "accuracy", "brier")])
+
+
+def graph_methods(spark, d):
+    """Relational neighbours, propagation and PageRank on three graphs, each alone, with the metrics of every run."""
+    s, _, _ = _graph_scores(spark, d)
+    columns = [c for c in s.columns if "_" in c]
+    long = s.select("y", F.explode(F.array(*[F.struct(F.lit(c.split("_")[0]).alias("graph"), F.lit(c.split("_")[1]).alias("method"), F.col(c).alias("score")) for c in columns])).alias("c")).select("y", "c.*")
+    return _fused_metrics(long, ["graph", "method"])
+
+
+def fusion_search(spark, d):
+    """All 31 combinations of five graph scores by prequential stacking; which the rule of parsimony takes, and F, F+G, F+M and F+G+M for it
+    and for the fixed overall choice (rn and ppr)."""
+    s, first, block = _graph_scores(spark, d)
+    docs = durable(_docs(spark, d))
+    n = docs.count()
+    prior = textgraph.online_prior(_all_terms(docs), docs.select("id", "seq", "y"), PROTOCOL.starts(n), PROTOCOL.block_length(n))
+    e = _metrics(spark, d)
+    m = prequential_linear(e, METRICS, first, block).select("id", F.col("score").alias("m_"))
+    s = durable(s.join(prior.select("id", F.col("prior").alias("g_")), "id", "left").join(m, "id", "left").withColumn("at_", F.col("seq")).withColumn("seq", F.col("seq") - first))
+    init = ev.init_window(s, "seq", "y", 0, 50, 300, PROTOCOL.init_each)
+    methods = {"RN": "core_rn", "PPR": "core_ppr", "LP": "core_lp", "TRN": "tokens_rn", "TPPR": "tokens_ppr"}
+    combos = {"+".join(c): [methods[x] for x in c] for c in ml.subsets(list(methods))}
+    run = lambda named: _fused_metrics(prequential_linear(s, [*methods.values(), "g_", "m_"], init, block, PROTOCOL.gap, subsets=named, steps=12), ["combo"])
+    part1 = durable(run(combos).withColumn("n", F.size(F.split("combo", "\\+")).cast("long")))
+    best = ev.parsimonious(part1, "macro_f1", "n", "combo").collect()
+    chosen = best[0]["combo"].split("+") if best else ["RN"]
+    part2 = {}
+    for rule, f in (("project", chosen), ("overall", ["RN", "PPR"])):
+        own = [methods[x] for x in f]
+        part2 |= {f"{rule}:F": own, f"{rule}:F+G": [*own, "g_"], f"{rule}:F+M": [*own, "m_"], f"{rule}:F+G+M": [*own, "g_", "m_"]}
+    return part1.withColumn("chosen", (F.col("combo") == "+".join(chosen)).cast("long")).unionByName(run(part2).withColumns({"n": F.lit(0).cast("long"), "chosen": F.lit(0).cast("long")}))
+
+
+def fusion_ablation(spark, d):
+    """The 63 subsets of six groups of features, each a prequential linear model: metrics, change tokens, priors, PageRank, propagation, text."""
+    s, first, block = _graph_scores(spark, d)
+    e = _metrics(spark, d)
+    _, hubs = hub_events(spark, d)
+    priors = past.hub_prior(hubs, past.with_actor_prior(past.with_global_prior(e))).select("id", "global_rate", "actor_rate", "hub_mean", "hub_max")
+    ops = _tokens(spark, d).withColumn("op", F.substring_index("token", ":", 1)).groupBy("id").pivot("op", ["ADDS", "REMOVES", "UPDATES", "MOVES"]).agg(F.log1p(F.sum("n").cast("double")))
+    docs = durable(_docs(spark, d))
+    n = docs.count()
+    prior = textgraph.online_prior(_all_terms(docs), docs.select("id", "seq", "y"), PROTOCOL.starts(n), PROTOCOL.block_length(n)).select("id", F.col("prior").alias("text_prior"))
+    ready = e.select("id", "seq", "y", *METRICS).join(priors, "id").join(ops, "id", "left").join(s.drop("seq", "y"), "id", "left").join(prior, "id", "left")
+    groups = {
+        "M": METRICS, "T": ["ADDS", "REMOVES", "UPDATES", "MOVES"], "R": ["global_rate", "actor_rate", "hub_mean", "hub_max"],
+        "P": ["core_ppr", "tokens_ppr"], "L": ["core_lp", "tokens_lp"], "X": ["text_prior"],
+    }
+    named = {"+".join(c): [x for g in c for x in groups[g]] for c in ml.subsets(list(groups))}
+    scored = prequential_linear(ready, [x for g in groups.values() for x in g], first + block, block, train_from=first, subsets=named, steps=12)
+    return _fused_metrics(scored, ["combo"])
 
 
 def fusion_power_set(spark, d):
@@ -92,12 +194,33 @@ def fusion_power_set(spark, d):
 
 
 def final_config(spark, d):
-    """Score, expanding z-scores of la and ent, fused by an L1 head; the most confident 80 percent."""
-    s = _scores(spark, d).select("id", "s")
-    m = _metrics(spark, d).join(s, "id")
-    for c in ("la", "ent"):
-        m = past.expanding_z(m, "seq", c, f"z_{c}")
-    out = ml.stacked(m.select("id", "seq", "y", "s", "z_la", "z_ent"), ["s", "z_la", "z_ent"], FIRST, BLOCK, 50)
+    """The deployed configuration: F+G score, tier statistics, their expanding z-scores and the files' place in the graph, by an L1 head; the most
+    confident 80 percent."""
+    s, first, block = _graph_scores(spark, d)
+    docs = durable(_docs(spark, d))
+    n = docs.count()
+    prior = textgraph.online_prior(_all_terms(docs), docs.select("id", "seq", "y"), PROTOCOL.starts(n), PROTOCOL.block_length(n)).select("id", "prior")
+    fg = prequential_linear(s.join(prior, "id").withColumn("seq", F.col("seq") - first), ["core_rn", "core_ppr", "prior"], 50, block, PROTOCOL.gap).select("id", F.col("score").alias("fg"))
+    e, hubs = hub_events(spark, d)
+    edges = _imports(spark, d)
+    near = durable(tiers.import_tiers(hubs, edges))
+    sets = {"T0": hubs.select("id", F.col("hub").alias("other")), **{t: near.where(F.col("tier") == t).select("id", "other") for t in ("T1_dep", "T1_dry")}, "TP": tiers.sibling_tier(hubs, hubs, lambda c: package_of(F.col(c)))}
+    rated = durable(past.with_global_prior(e))
+    x, columns = rated.select("id", "seq", "y"), []
+    for name, tier in sets.items():
+        stats = tiers.tier_summary(tier, rated, tiers.file_states(hubs))
+        own = [c for c in stats.columns if c != "id"]
+        x = durable(x.join(stats.select("id", *[F.col(c).alias(f"{name}_{c}") for c in own]), "id", "left"))
+        columns += [f"{name}_{c}" for c in own]
+    for name in sets:
+        if name != "T0":
+            x = x.withColumn(f"{name}_reach", F.log1p(F.expm1(f"{name}_size") / F.greatest(F.expm1("T0_size"), F.lit(1.0))))
+            columns.append(f"{name}_reach")
+    x = past.expanding_zs(durable(x), "seq", columns)
+    x = x.join(topology_positions(hubs, edges, n), "id", "left").na.fill(0.0, POSITIONS).join(fg, "id")
+    x = x.withColumn("seq", F.col("seq") - (first + 50))
+    init = ev.init_window(x, "seq", "y", 0, 50, 300, PROTOCOL.init_each)
+    out = prequential_linear(x, ["fg", *columns, *[f"z_{c}" for c in columns], *POSITIONS], init, block, PROTOCOL.gap, inverse=0.2, l1=True)
     return ev.most_confident(out, "score", 0.8)
 
 
@@ -125,7 +248,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         prequential_lr, prequential_l1, baseline_forest, baseline_boosting, baseline_la, baseline_constants, hashed_text, tfidf_text, jitline_forest, sgd_stream, svd_lsa,
-        stack_fusion, fusion_power_set, final_config, embedding_pca, embedding_class_means, param_sweep,
+        stack_fusion, graph_methods, fusion_search, fusion_ablation, fusion_power_set, final_config, embedding_pca, embedding_class_means, param_sweep,
     )
 }
 
