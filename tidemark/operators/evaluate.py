@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.operators.past import recent_past, strict_past, with_sequence
-from tidemark.operators.stats import value_table
+from tidemark.operators.stats import quantiles, value_table
 
 
 def scrub(score: Column, fill: Column | float = 0.5) -> Column:
@@ -62,7 +62,7 @@ def best_f1(df: DataFrame, score: str, label: str) -> DataFrame:
 def rate_matched_threshold(df: DataFrame, score: str, label: str) -> DataFrame:
     """The score above which lies the share of positives (linear quantile)."""
     rate = df.agg(F.avg(label)).collect()[0][0]
-    return df.agg(F.expr(f"percentile(`{score}`, {1 - rate if rate is not None else 0.5})").alias("threshold"))
+    return df.sparkSession.createDataFrame([(quantiles(df, score, [1 - rate if rate is not None else 0.5])[0],)], "threshold double")
 
 
 def confusion(df: DataFrame, label: str, decision: str, score: str | None = None, keys: list[str] | None = None) -> DataFrame:
@@ -188,8 +188,8 @@ def calibration(df: DataFrame, label: str, score: str, bins: int = 10, more_than
 def most_confident(df: DataFrame, score: str, keep: float = 0.8) -> DataFrame:
     """The ``keep`` share of rows farthest from 0.5 (all ties at the edge included)."""
     c = F.abs(F.col(score) - 0.5)
-    edge = df.agg(F.expr(f"percentile(abs(`{score}` - 0.5), {1 - keep})")).scalar()
-    return df.where(c >= edge)
+    edge = quantiles(df.select(c.alias("c_")), "c_", [1 - keep])[0]
+    return df.where(c >= F.lit(edge))
 
 
 def combine(df: DataFrame, keys: list[str], value: str, weights: list[str]) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.operators.past import strict_past, with_sequence
+from tidemark.session import durable
 
 
 def value_table(df: DataFrame, value: str, sums: dict[str, Column]) -> DataFrame:
@@ -22,6 +23,21 @@ def value_table(df: DataFrame, value: str, sums: dict[str, Column]) -> DataFrame
     return strict_past(placed, [], "place_", {f"{n}_below": ("sum", F.col(n)) for n in names})
 
 
+def quantiles(df: DataFrame, value: str, at: list[float]) -> list[float | None]:
+    """Exact continuous quantiles (linear between neighbours) of a column; None without values.
+
+    They are looked up by position among the distinct values and their counts, so no task holds the column.
+    """
+    t = durable(value_table(df, value, {}))
+    n = t.agg(F.sum("n")).collect()[0][0]
+    if not n:
+        return [None] * len(at)
+    places = [(n - 1) * q for q in at]
+    ends = sorted({int(p) for p in places} | {min(int(p) + 1, n - 1) for p in places})
+    found = {r["p_"]: r["v_"] for r in t.select(F.col(value).cast("double").alias("v_"), F.explode(F.filter(F.array(*[F.lit(e) for e in ends]), lambda e: (e >= F.col("n_below")) & (e < F.col("n_below") + F.col("n")))).alias("p_")).collect()}
+    return [found[int(p)] + (p - int(p)) * (found[min(int(p) + 1, n - 1)] - found[int(p)]) for p in places]
+
+
 def midranks(df: DataFrame, value: str, name: str = "midrank") -> DataFrame:
     """Add the average rank (from 1) among equal values; null for null and NaN."""
     ranks = value_table(df, value, {}).select(F.col(value).alias("value_"), (F.col("n_below") + (F.col("n") + 1) / 2).alias(name))
@@ -40,9 +56,20 @@ def describe(df: DataFrame, value: str, keys: list[str] | None = None) -> DataFr
     per = rows.groupBy(*keys, "v_").agg(F.count(F.lit(1)).alias("c_"))
     moments = rows.groupBy(*keys).agg(
         F.count("v_").alias("n"), F.avg("v_").alias("mean"), F.stddev_pop("v_").alias("std"), F.min("v_").alias("min"), F.max("v_").alias("max"),
-        F.sum("v_").alias("sum"), F.expr("percentile(v_, 0.5)").alias("p50"), F.expr("percentile(v_, 0.95)").alias("p95"), F.skewness("v_").alias("skew"),
+        F.sum("v_").alias("sum"), F.skewness("v_").alias("skew"),
     )
-    ranked = strict_past(with_sequence(per, [*keys, "v_"], "place_"), keys, "place_", {"b_": ("sum", F.col("c_"))})
+    ranked = durable(strict_past(with_sequence(per, [*keys, "v_"], "place_"), keys, "place_", {"b_": ("sum", F.col("c_"))}))
+    # percentiles by position among the distinct values
+    n_of = ranked.groupBy(*keys).agg(F.sum("c_").alias("n_"))
+    sized = ranked.join(n_of, keys) if keys else ranked.crossJoin(F.broadcast(n_of))  # one row
+    cuts = {}
+    for name, q in (("p50", 0.5), ("p95", 0.95)):
+        at = (F.col("n_") - 1) * q
+        holds = lambda p: (F.col("b_") <= p) & (p < F.col("b_") + F.col("c_"))
+        low, high = F.max(F.when(holds(F.floor(at)), F.col("v_"))), F.max(F.when(holds(F.least(F.floor(at) + 1, F.col("n_") - 1)), F.col("v_")))
+        cuts[name] = low + (F.max(at) - F.floor(F.max(at))) * (high - low)
+    percentiles = sized.groupBy(*keys).agg(*[x.alias(name) for name, x in cuts.items()])
+    moments = moments.join(percentiles, keys) if keys else moments.crossJoin(F.broadcast(percentiles))  # one row each
     # the ranks of c equal values after b lesser ones add up to c * b + c (c + 1) / 2
     weighted = ranked.groupBy(*keys).agg(F.sum(F.col("v_") * (F.col("c_") * F.col("b_") + F.col("c_") * (F.col("c_") + 1) / 2)).alias("w_"))
     joined = moments.join(weighted, keys) if keys else moments.crossJoin(F.broadcast(weighted))  # one row each
@@ -153,9 +180,8 @@ def tail_fit(df: DataFrame, value: str, xmins: list[float] | None = None) -> Dat
     """
     rows = df.where(F.col(value) > 0).select(F.col(value).cast("double").alias("v_"))
     if xmins is None:
-        at = ", ".join(str(0.5 + 0.05 * i) for i in range(10))
-        r = rows.agg(F.count("v_").alias("n"), F.expr(f"percentile(v_, array({at}))").alias("q")).collect()[0]
-        xmins = sorted({float(int(q)) for q in r["q"] if int(q) >= 1}) if r["n"] >= 20 else []
+        found = quantiles(rows, "v_", [0.5 + 0.05 * i for i in range(10)]) if rows.count() >= 20 else []
+        xmins = sorted({float(int(q)) for q in found if int(q) >= 1})
     schema = "xmin double"
     cands = F.broadcast(df.sparkSession.createDataFrame([(float(x),) for x in xmins], schema))
     per = rows.groupBy("v_").agg(F.count(F.lit(1)).alias("c_"))

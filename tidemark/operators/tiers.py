@@ -10,6 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.operators.past import strict_past
+from tidemark.operators.skew import hot_keys, join_salted
+from tidemark.session import durable
 
 
 def resolve_calls(calls: DataFrame, defs: DataFrame, name: str = "name") -> DataFrame:
@@ -37,17 +39,20 @@ def outside(members: DataFrame, own: DataFrame) -> DataFrame:
     return members.join(own.select("id", F.col("hub").alias("other")), ["id", "other"], "left_anti")
 
 
-def import_tiers(hubs: DataFrame, edges: DataFrame, cap: int = 400) -> DataFrame:
+def import_tiers(hubs: DataFrame, edges: DataFrame, cap: int = 400, rows_per_shard: int = 2_000_000) -> DataFrame:
     """``id, tier, other``: T1_dep, T1_dry, T1 (either) and T2 (two steps, only where T1 has at most ``cap`` files).
 
     Both directions of the import graph; the event's own hubs are in none, T1 not in T2.
     """
-    own = hubs.select("id", "hub").distinct()
-    near = neighbours(edges)
-    first = outside(own.join(near, "hub").select("id", "tier", "other").distinct(), own)
-    t1 = first.select("id", "other").distinct()
+    own = durable(hubs.select("id", "hub").distinct())
+    near = durable(neighbours(edges))
+    # a file that very many events touch, or that everything imports, is cut into shards for the join
+    hot = hot_keys(own, ["hub"], rows_per_shard)
+    first = durable(outside(join_salted(own, near, ["hub"], hot, "inner", ["id"]).select("id", "tier", "other").distinct(), own))
+    t1 = durable(first.select("id", "other").distinct())
     small = t1.groupBy("id").agg(F.count(F.lit(1)).alias("n_")).where(F.col("n_") <= cap).select("id")
-    second = t1.join(small, "id", "left_semi").select("id", F.col("other").alias("hub")).join(near.select("hub", "other").distinct(), "hub").select("id", "other").distinct()
+    step = t1.join(small, "id", "left_semi").select("id", F.col("other").alias("hub"))
+    second = join_salted(step, near.select("hub", "other").distinct(), ["hub"], hot_keys(t1, ["other"], rows_per_shard), "inner", ["id"]).select("id", "other").distinct()
     t2 = outside(second, own).join(t1, ["id", "other"], "left_anti")
     tag = lambda df, t: df.select("id", F.lit(t).alias("tier"), "other")
     return first.select("id", F.concat(F.lit("T1_"), "tier").alias("tier"), "other").unionByName(tag(t1, "T1")).unionByName(tag(t2, "T2"))
