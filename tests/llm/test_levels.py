@@ -120,3 +120,10 @@ def test_held_out_accuracy(spark):
     english = reading_levels(docs.where(F.lower("lang").startswith("en")), model).where("n_words >= 40").withColumn("band", band(F.col("x")))
     easy, found_easy, hard, found_hard = english.agg(*[F.count_if((F.col("band") == b) & c) for b, low in (("easy", True), ("hard", False)) for c in (F.lit(True), F.col("level") <= 2 if low else F.col("level") >= 4)]).collect()[0]
     assert found_easy / easy > 0.9 and found_hard / hard > 0.9
+
+
+def test_every_document_is_trained_on(spark):
+    """9,000 documents of one language, each with a word of its own: all of them are in the model."""
+    docs = spark.range(9000).select(F.col("id").alias("doc_id"), F.concat(F.lit("same "), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij"), F.lit(".")).alias("text"), F.lit("fr").alias("lang"))
+    model = train(docs, spark.createDataFrame([(1, 2, "a")], "doc_id long, level int, annotator string"))
+    assert len(model.words) == 9000 + 1

@@ -6,8 +6,8 @@ weight, on documents of every language seeded by the formula. A model has the wo
 each (language, level), smoothed towards those of all training texts. A document gets the level with the
 highest posterior, summed over languages, so a null or wrong language does no harm.
 
-Both kinds of training rows are bounded samples (``max_labelled``, ``seeds``), so the model has a bound; it is
-kept sparse, as the words of each class. Scoring reads every document whole.
+Every labelled document and every other one is trained on. The model has the words of each class, kept sparse, so
+it grows with the vocabulary and not with the documents. Scoring reads every document whole.
 """
 
 from __future__ import annotations
@@ -76,49 +76,35 @@ def given_levels(labels: DataFrame, doc: str = "doc_id", level: str = "level") -
     )
 
 
-def _sampled(df: DataFrame, key: str, share: Column) -> DataFrame:
-    """Rows whose hash of ``key`` lies under ``share``; the same in every run."""
-    return df.where(F.pmod(F.xxhash64(F.lit("levels"), F.col(key)), F.lit(1 << 30)) < share * (1 << 30))
-
-
 def train(
     documents: DataFrame,
     labels: DataFrame,
     doc: str = "doc_id",
     text: str = "text",
     lang: str = "lang",
-    max_labelled: int = 50_000,
-    seeds: int = 8_000,
     seed_weight: float = 0.25,
     pull: float = 200.0,
 ) -> LevelModel:
-    """Train on the labelled documents and on documents of every language seeded by the formula.
+    """Train on the labelled documents and on all others, which are seeded by the formula.
 
-    At most about ``max_labelled`` labelled documents are used, chosen by hash, and ``seeds`` others, in equal parts
-    per language (at least 50 of each; languages are two letters, so there are at most 677). A seeded
-    document counts ``seed_weight``. English is cut at ENGLISH_BOUNDS; the cuts of another language are the
+    A seeded document counts ``seed_weight``. English is cut at ENGLISH_BOUNDS; the cuts of another language are the
     quantiles of x of its seeds at the shares of the given levels (20, 40, 60, 80 percent where nothing is
-    labelled). Texts are read whole and every word counts. ``pull`` is the weight, in words, of the smoothing
-    distribution. Empty tables give a model in which all levels are alike.
+    labelled), to a ten-thousandth of a rank. Texts are read whole and every word counts. ``pull`` is the weight, in
+    words, of the smoothing distribution. Empty tables give a model in which all levels are alike.
     """
     rows = documents.select(F.col(doc).alias("doc_id"), F.col(text).alias("text"), language(F.col(lang)).alias("lang")).where("text IS NOT NULL")
-    given = given_levels(labels)
-    n_given = given.count()
-    given = durable(_sampled(given, "doc_id", F.lit(min(1.0, max_labelled / max(n_given, 1)))))
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()  # at most 677 rows
-    each = max(50, seeds // max(1, len(sizes)))
-    shares = documents.sparkSession.createDataFrame([(r["lang"], min(1.0, each / r["n"])) for r in sizes], "lang string, share_ double")
-    # texts are measured once they are chosen
-    hand = with_measures(rows.join(F.broadcast(given), "doc_id"), "text").select("lang", "level", "x", "prose_", F.lit(1.0).alias("weight"))
-    chosen = _sampled(rows.join(F.broadcast(shares), "lang"), "doc_id", F.col("share_")).join(F.broadcast(given.select("doc_id")), "doc_id", "left_anti")
-    chosen = durable(with_measures(chosen, "text").where("x IS NOT NULL").select("lang", "x", "prose_"))
+    given = durable(given_levels(labels))
+    measured = with_measures(rows.join(given, "doc_id", "left"), "text")
     counts = {r["level"]: r["n"] for r in given.groupBy("level").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(counts.values())
     cuts = [sum(counts.get(i, 0) for i in range(1, k + 1)) / total for k in range(1, LEVELS)] if total else [0.2, 0.4, 0.6, 0.8]
-    bounds = chosen.groupBy("lang").agg(F.percentile_approx("x", cuts, 1000).alias("cuts_"))
+    # English has fixed bounds, so only the other languages are measured for theirs; at most 676 rows
+    bounds = durable(with_measures(rows.where("lang <> 'en'").join(given, "doc_id", "left_anti"), "text").groupBy("lang").agg(F.percentile_approx("x", cuts, 10_000).alias("cuts_")))
     own = F.when(F.col("lang") == "en", F.array(*[F.lit(b) for b in ENGLISH_BOUNDS])).otherwise(F.col("cuts_"))
-    seeded = chosen.join(F.broadcast(bounds), "lang").withColumn("level", (F.size(F.filter(own, lambda b: F.col("x") > b)) + 1).cast("int"))
-    texts = hand.unionByName(seeded.select("lang", "level", "x", "prose_", F.lit(seed_weight).alias("weight")))
+    texts = measured.join(F.broadcast(bounds), "lang", "left").select(
+        "lang", "prose_", F.coalesce("level", F.when(F.col("x").isNotNull(), F.size(F.filter(own, lambda b: F.col("x") > b)) + 1)).cast("int").alias("level"),
+        F.when(F.col("level").isNull(), F.lit(seed_weight)).otherwise(1.0).alias("weight"),
+    )
     word = F.explode(F.regexp_extract_all(F.lower("prose_"), F.lit(r"\p{L}+"), F.lit(0)))
     counted = texts.select("lang", "level", "weight", word.alias("word")).groupBy("word", "lang", "level").agg(F.sum("weight").alias("n")).orderBy("word", "lang", "level").toArrow()
     words = counted.column("word").combine_chunks().dictionary_encode()
