@@ -11,7 +11,7 @@ from tidemark.operators import model as ml
 from tidemark.operators.online import prequential_linear
 from tidemark.plans.base import METRICS, events, hub_events, sql
 from tidemark.plans.eval_queries import _scores
-from tidemark.plans.graph_queries import POSITIONS, topology_positions
+from tidemark.plans.graph_queries import POSITIONS, _edges, topology_positions
 from tidemark.plans.join_queries import _imports, _tokens
 from tidemark.plans.past_queries import _PRIORS
 from tidemark.plans.text_queries import _all_terms, _docs
@@ -202,13 +202,10 @@ def final_config(spark, d):
     prior = textgraph.online_prior(_all_terms(docs), docs.select("id", "seq", "y"), PROTOCOL.starts(n), PROTOCOL.block_length(n)).select("id", "prior")
     fg = prequential_linear(s.join(prior, "id").withColumn("seq", F.col("seq") - first), ["core_rn", "core_ppr", "prior"], 50, block, PROTOCOL.gap).select("id", F.col("score").alias("fg"))
     e, hubs = hub_events(spark, d)
-    edges = _imports(spark, d)
-    near = durable(tiers.import_tiers(hubs, edges))
-    sets = {"T0": hubs.select("id", F.col("hub").alias("other")), **{t: near.where(F.col("tier") == t).select("id", "other") for t in ("T1_dep", "T1_dry")}, "TP": tiers.sibling_tier(hubs, hubs, lambda c: package_of(F.col(c)))}
+    sets = ("T0", "T1_dep", "T1_dry", "TP")
     rated = durable(past.with_global_prior(e))
     x, columns = rated.select("id", "seq", "y"), []
-    for name, tier in sets.items():
-        stats = tiers.tier_summary(tier, rated, tiers.file_states(hubs))
+    for name, stats in tiers.tier_summaries(hubs, rated, _imports(spark, d), sets, lambda c: package_of(F.col(c))).items():
         own = [c for c in stats.columns if c != "id"]
         x = durable(x.join(stats.select("id", *[F.col(c).alias(f"{name}_{c}") for c in own]), "id", "left"))
         columns += [f"{name}_{c}" for c in own]
@@ -217,7 +214,7 @@ def final_config(spark, d):
             x = x.withColumn(f"{name}_reach", F.log1p(F.expm1(f"{name}_size") / F.greatest(F.expm1("T0_size"), F.lit(1.0))))
             columns.append(f"{name}_reach")
     x = past.expanding_zs(durable(x), "seq", columns)
-    x = x.join(topology_positions(hubs, edges, n), "id", "left").na.fill(0.0, POSITIONS).join(fg, "id")
+    x = x.join(topology_positions(hubs, _edges(spark, d), n), "id", "left").na.fill(0.0, POSITIONS).join(fg, "id")
     x = x.withColumn("seq", F.col("seq") - (first + 50))
     init = ev.init_window(x, "seq", "y", 0, 50, 300, PROTOCOL.init_each)
     out = prequential_linear(x, ["fg", *columns, *[f"z_{c}" for c in columns], *POSITIONS], init, block, PROTOCOL.gap, inverse=0.2, l1=True)
