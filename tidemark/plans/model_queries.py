@@ -126,6 +126,13 @@ def _graph_scores(spark, d, iterations=8):
     return out, first, block
 
 
+def _text_prior(spark, d):
+    """The text prior of every event after the warm-up, from whole messages."""
+    docs = durable(_docs(spark, d, whole=True))
+    n = docs.count()
+    return textgraph.online_prior(_all_terms(docs), docs.select("id", "seq", "y"), PROTOCOL.starts(n), PROTOCOL.block_length(n)).select("id", "prior")
+
+
 def _fused_metrics(scores, keys):
     """AUC by midranks, Brier score, and F1 measures at 0.5 per combination of keys."""
     c = ev.confusion(scores.withColumn("d", (F.col("score") >= 0.5).cast("int")), "y", "d", "score", keys)
@@ -144,9 +151,7 @@ def fusion_search(spark, d):
     """All 31 combinations of five graph scores by prequential stacking; which the rule of parsimony takes, and F, F+G, F+M and F+G+M for it
     and for the fixed overall choice (rn and ppr)."""
     s, first, block = _graph_scores(spark, d)
-    docs = durable(_docs(spark, d))
-    n = docs.count()
-    prior = textgraph.online_prior(_all_terms(docs), docs.select("id", "seq", "y"), PROTOCOL.starts(n), PROTOCOL.block_length(n))
+    prior = _text_prior(spark, d)
     e = _metrics(spark, d)
     m = prequential_linear(e, METRICS, first, block).select("id", F.col("score").alias("m_"))
     s = durable(s.join(prior.select("id", F.col("prior").alias("g_")), "id", "left").join(m, "id", "left").withColumn("at_", F.col("seq")).withColumn("seq", F.col("seq") - first))
@@ -171,9 +176,7 @@ def fusion_ablation(spark, d):
     _, hubs = hub_events(spark, d)
     priors = past.hub_prior(hubs, past.with_actor_prior(past.with_global_prior(e))).select("id", "global_rate", "actor_rate", "hub_mean", "hub_max")
     ops = _tokens(spark, d).withColumn("op", F.substring_index("token", ":", 1)).groupBy("id").pivot("op", ["ADDS", "REMOVES", "UPDATES", "MOVES"]).agg(F.log1p(F.sum("n").cast("double")))
-    docs = durable(_docs(spark, d))
-    n = docs.count()
-    prior = textgraph.online_prior(_all_terms(docs), docs.select("id", "seq", "y"), PROTOCOL.starts(n), PROTOCOL.block_length(n)).select("id", F.col("prior").alias("text_prior"))
+    prior = _text_prior(spark, d).withColumnRenamed("prior", "text_prior")
     ready = e.select("id", "seq", "y", *METRICS).join(priors, "id").join(ops, "id", "left").join(s.drop("seq", "y"), "id", "left").join(prior, "id", "left")
     groups = {
         "M": METRICS, "T": ["ADDS", "REMOVES", "UPDATES", "MOVES"], "R": ["global_rate", "actor_rate", "hub_mean", "hub_max"],
@@ -197,10 +200,7 @@ def final_config(spark, d):
     """The deployed configuration: F+G score, tier statistics, their expanding z-scores and the files' place in the graph, by an L1 head; the most
     confident 80 percent."""
     s, first, block = _graph_scores(spark, d)
-    docs = durable(_docs(spark, d))
-    n = docs.count()
-    prior = textgraph.online_prior(_all_terms(docs), docs.select("id", "seq", "y"), PROTOCOL.starts(n), PROTOCOL.block_length(n)).select("id", "prior")
-    fg = prequential_linear(s.join(prior, "id").withColumn("seq", F.col("seq") - first), ["core_rn", "core_ppr", "prior"], 50, block, PROTOCOL.gap).select("id", F.col("score").alias("fg"))
+    fg = prequential_linear(s.join(_text_prior(spark, d), "id").withColumn("seq", F.col("seq") - first), ["core_rn", "core_ppr", "prior"], 50, block, PROTOCOL.gap).select("id", F.col("score").alias("fg"))
     e, hubs = hub_events(spark, d)
     sets = ("T0", "T1_dep", "T1_dry", "TP")
     rated = durable(past.with_global_prior(e))

@@ -20,10 +20,11 @@ def _past(docs):
     return int(docs.count() * TRAIN)
 
 
-def _docs(spark, d):
-    """(id, seq, y, toks) with the typed words of the message."""
+def _docs(spark, d, whole=False):
+    """(id, seq, y, toks) with the typed words of the message, the first HEAD_TOKENS of them unless ``whole``."""
     ev = events(spark, d, ("message",))
-    return ev.select("id", "seq", "y", F.slice(tx.words(F.col("message")), 1, tx.HEAD_TOKENS).alias("toks"))
+    words = tx.words(F.col("message"))
+    return ev.select("id", "seq", "y", (words if whole else F.slice(words, 1, tx.HEAD_TOKENS)).alias("toks"))
 
 
 def _event_terms(spark, d, least=3):
