@@ -1,10 +1,11 @@
 """Linear models along a stream, all blocks at once.
 
 The prequential protocol fits a model per block on everything before the block. Here the models of all
-blocks are fitted together: a row belongs to the training part of every later block, so one pass over the
-stream gives each model's gradient and Hessian, and a handful of Newton steps fit them all. A pass reads
-each row once and adds up per model on the map side; the driver holds the weights. With the number of blocks
-bounded (:class:`tidemark.spec.Protocol`) the work grows in proportion to the stream.
+blocks are fitted together: a row belongs to the training part of every later block. Rows of up to ``CELLS`` numbers are sent to the
+tasks, each of which fits the models of its blocks to the end. Of larger streams one pass gives each model's
+gradient and Hessian, and a handful of Newton steps fit them all; a pass reads each row once and adds up per model on the
+map side, and the driver holds the weights. With the number of blocks bounded (:class:`tidemark.spec.Protocol`)
+the work grows in proportion to the stream.
 """
 
 from __future__ import annotations
@@ -18,9 +19,14 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.blocks import dealt
 from tidemark.session import durable
 
 ROWS = 2048
+#: Numbers of the training rows that are sent to every task.
+CELLS = 20_000_000
+#: Subsets of the columns from which on the products of all pairs of columns are formed once for all.
+MANY = 8
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
@@ -59,23 +65,89 @@ def _ridge_step(theta: np.ndarray, g: np.ndarray, h: np.ndarray, inverse: float,
 
 
 def _lasso_step(theta: np.ndarray, g: np.ndarray, h: np.ndarray, inverse: float, on: np.ndarray, sweeps: int = 100) -> np.ndarray:
-    """Coordinate descent on the quadratic model, for all models side by side; the intercept has no penalty."""
-    new = theta.copy()
-    rest = g.copy()  # gradient less Hessian times (new - theta)
+    """Step of each model to the optimum of its quadratic model; the intercept has no penalty."""
+    penalty = np.r_[0.0, np.full(theta.shape[1] - 1, 1 / inverse)]
+    return np.stack([_lasso(theta[i], g[i], h[i], penalty, np.flatnonzero(on[i]), sweeps) for i in range(len(theta))]) - theta
+
+
+def _lasso(theta: np.ndarray, g: np.ndarray, h: np.ndarray, penalty: np.ndarray, columns: np.ndarray, sweeps: int) -> np.ndarray:
+    """Coordinate descent; after each sweep the weights that are not 0 go to their joint optimum, or as far as the first that becomes 0."""
+    w = theta.copy()
+    c, curve = g + h @ theta, np.maximum(np.diag(h), 1e-12)
+    free = penalty == 0
     for _ in range(sweeps):
-        most = 0.0
-        for j in range(theta.shape[1]):
-            curve = np.maximum(h[:, j, j], 1e-12)
-            free = new[:, j] + rest[:, j] / curve
-            shrink = 0.0 if j == 0 else 1 / (inverse * curve)
-            to = np.sign(free) * np.maximum(np.abs(free) - shrink, 0.0) * on[:, j]
-            move = to - new[:, j]
-            rest -= h[:, :, j] * move[:, None]
-            new[:, j] = to
-            most = max(most, np.abs(move).max())
-        if most < 1e-9:
+        rest = c - h @ w
+        for j in columns:
+            to = rest[j] + curve[j] * w[j]
+            to = (max(abs(to) - penalty[j], 0.0) * (1 if to > 0 else -1)) / curve[j]
+            if to != w[j]:
+                rest -= h[j] * (to - w[j])
+                w[j] = to
+        while True:
+            live = np.flatnonzero((w != 0) | free)
+            part = h[np.ix_(live, live)]
+            move = np.linalg.solve(part + np.diag(1e-12 * np.diag(part) + 1e-12), (c - h @ w - penalty * np.sign(w))[live])
+            turned = (np.sign(w[live] + move) != np.sign(w[live])) & ~free[live]
+            if not turned.any():
+                w[live] += move
+                break
+            share = np.where(turned, np.divide(-w[live], move, out=np.ones(len(live)), where=move != 0), np.inf)
+            w[live] += share.min() * move
+            w[live[np.argmin(share)]] = 0.0
+        off = np.abs(c - h @ w) - penalty
+        if (off[columns] <= 1e-9 * (1 + np.abs(c[columns]))).all():
+            break
+    return w
+
+
+def _moments(x: np.ndarray, y: np.ndarray, raw: np.ndarray, class_weight: np.ndarray, on: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradients and Hessians of models (models x features) over the same rows; of a Hessian what ``on`` has."""
+    models, d = raw.shape
+    g, h = np.zeros((models, d)), np.zeros((models, d, d))
+    upper = np.triu_indices(d)
+    sums = np.zeros((models, len(upper[0])))
+    for lo in range(0, len(x), ROWS):
+        rows = x[lo : lo + ROWS]
+        p = _probability(raw @ rows.T)
+        weight = class_weight[y[lo : lo + ROWS]]
+        g += ((y[lo : lo + ROWS] - p) * weight) @ rows
+        curve = p * (1 - p) * weight
+        if models >= MANY:
+            sums += curve @ (rows[:, upper[0]] * rows[:, upper[1]])
+            continue
+        for i in range(models):
+            own = np.flatnonzero(on[i])
+            part = rows[:, own]
+            h[i][np.ix_(own, own)] += (part * curve[i][:, None]).T @ part
+    if models >= MANY:
+        h[:, upper[0], upper[1]] = sums
+        h[:, upper[1], upper[0]] = sums
+    return g, h
+
+
+def _fit(x: np.ndarray, y: np.ndarray, ends: np.ndarray, scale: np.ndarray, on: np.ndarray, class_weight: np.ndarray, inverse: float, l1: bool, steps: int, tolerance: float) -> np.ndarray:
+    """Weights of the models (cuts x subsets x features) on the rows before each cut's end, by steps until each model stands still.
+
+    ``x`` and ``scale`` have the raw columns after a one; the weights are those of standardised columns.
+    """
+    k, s, d = on.shape
+    theta, live = np.zeros((k, s, d)), np.ones((k, s), bool)
+    for _ in range(steps):
+        g, h = [], []
+        for i in range(k):
+            own, t = np.flatnonzero(live[i]), scale[i]
+            if len(own):
+                # a raw weight is 0 where the standardised one is, but the first, so the first is always on
+                a, b = _moments(x[: ends[i]], y[: ends[i]], theta[i, own] @ t, class_weight[i], on[i, own])
+                g.append((a @ t.T) * on[i, own])
+                h.append(t @ b @ t.T)
+        if not g:
             break
-    return new - theta
+        step = (_lasso_step if l1 else _ridge_step)(theta[live], np.concatenate(g), np.concatenate(h), inverse, on[live])
+        step *= np.minimum(1.0, 5.0 / np.maximum(np.abs(step).max(axis=1, keepdims=True), 1e-12))
+        theta[live] += step
+        live[live] = np.abs(step).max(axis=1) >= tolerance
+    return theta
 
 
 def prequential_linear(
@@ -148,7 +220,10 @@ def prequential_linear(
     table = F.array(*[F.lit(int(c)) for c in edges])
     slots = F.size(F.filter(table, lambda c: c <= F.col("seq_")))
     train = durable(train.select("y_", slots.cast("long").alias("slot_"), "x_"))
-    for _ in range(steps if fitted.any() else 0):
+    alone = train.count() * (d + 1) <= CELLS
+    if fitted.any() and alone:
+        theta = _fit_in_tasks(train, np.flatnonzero(fitted), rank, scale, on.reshape(k, s, d + 1), class_weight, inverse, l1, steps, tolerance).reshape(k * s, d + 1)
+    for _ in range(steps if fitted.any() and not alone else 0):
         raw = np.einsum("mi,mij->mj", theta, scale[of])
         part = train.mapInArrow(lambda b, raw=raw: _derivatives(raw, rank[of], class_weight[of], b), "model long, v array<double>")
         found = part.groupBy("model").agg(vector_to_array(Summarizer.sum(array_to_vector("v"))).alias("v")).collect()
@@ -179,6 +254,41 @@ def prequential_linear(
     return rows.where(F.col("seq_") >= first).select(*keep, "seq_", "x_").mapInArrow(score, f"{kinds}, {out}")
 
 
+def _fit_in_tasks(train: DataFrame, fitted: np.ndarray, rank: np.ndarray, scale: np.ndarray, on: np.ndarray, class_weight: np.ndarray, inverse: float, l1: bool, steps: int, tolerance: float) -> np.ndarray:
+    """Weights of the models of the ``fitted`` cuts, of the others 0; ``train`` has y_, slot_ and x_."""
+    spark = train.sparkSession
+    t = train.toArrow()
+    y, slot = (t.column(i).to_numpy() for i in (0, 1))
+    order = np.argsort(slot, kind="stable")
+    ends = np.searchsorted(slot[order], rank, side="right")  # rows in the past of each cut
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    x, lo = np.ones((len(y), on.shape[2])), 0
+    for batch in t.column(2).chunks:
+        x[place[lo : lo + len(batch)], 1:] = batch.flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1)
+        lo += len(batch)
+    y = y[order].astype(np.int64)
+    del t
+    pa.default_memory_pool().release_unused()  # the driver holds the rows once
+    sent = spark.sparkContext.broadcast((x, y, scale, on, class_weight))
+    del x
+    tasks = [[int(fitted[i]) for i in own] for own in dealt(spark, len(fitted), len(fitted))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x, y, scale, on, class_weight = sent.value
+        for batch in batches:
+            for i in batch.column(0).to_pylist():
+                own = tasks[i]
+                found = _fit(x, y, ends[own], scale[own], on[own], class_weight[own], inverse, l1, steps, tolerance)
+                yield pa.record_batch([pa.array(own, pa.int64()), pa.array(list(found.reshape(len(own), -1)), pa.list_(pa.float64()))], names=["cut", "v"])
+
+    out = np.zeros((len(on), on[0].size))
+    found = spark.range(0, len(tasks), 1, len(tasks)).mapInArrow(run, "cut long, v array<double>").toArrow()
+    out[found.column("cut").to_numpy()] = found.column("v").combine_chunks().flatten().to_numpy().reshape(found.num_rows, -1)
+    sent.destroy()
+    return out
+
+
 def _prefix(rows: DataFrame, at: np.ndarray, cuts: np.ndarray, train_from: int, d: int) -> np.ndarray:
     """Per cut the count, positives, sums and sums of squares of the rows in [train_from, cut)."""
     table = F.array(*[F.lit(int(c)) for c in cuts])

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import KINDS
+from tidemark.operators import blocks
 from tidemark.session import durable
 
 
@@ -101,11 +102,16 @@ def online_prior(event_terms: DataFrame, events: DataFrame, starts: list[int], b
     """``id, seq, prior`` of the events of every block: mean risk of the event's terms, refreshed at each block's start.
 
     Terms, pairs, NPMI and the risk that spreads over it come from the events before the block only. Counts are taken
-    per block once and cumulated, and all blocks spread their risk side by side. ``event_terms`` has distinct (id, seq,
-    y, term). Terms that are new, and events without terms, get the rate before the block.
+    per block once and cumulated, and all blocks spread their risk side by side: in tasks that hold the terms of all events
+    by number, or by joins where these are too many. ``event_terms`` has distinct (id, seq, y, term), ``events`` dense seq.
+    Terms that are new, and events without terms, get the rate before the block.
     """
     if not starts:
         return events.select("id", "seq", F.lit(0.0).alias("prior")).limit(0)
+    if event_terms.count() <= blocks.ROWS:
+        how = {"least_together": least_together, "least_npmi": least_npmi, "iterations": iterations, "damp": damp, "m": m}
+        found = blocks.prior_blocks(event_terms.select("seq", "term"), events, events.count(), starts, block, **how)
+        return events.select("id", "seq").join(found, "seq").select("id", "seq", "prior")
     first = starts[0]
     later = F.filter(F.array(*[F.lit(s) for s in starts]), lambda s: s > F.col("made"))
     made = (F.floor((F.col("seq") - first) / block) * block + first).alias("made")  # start of the event's block

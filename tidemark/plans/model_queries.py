@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
 from tidemark.operators import evaluate as ev
-from tidemark.operators import graph, past, textgraph, tiers
+from tidemark.operators import blocks, graph, past, textgraph, tiers
 from tidemark.operators import model as ml
 from tidemark.operators.online import prequential_linear
 from tidemark.plans.base import METRICS, events, hub_events, sql
 from tidemark.plans.eval_queries import _scores
-from tidemark.plans.graph_queries import POSITIONS, _edges, topology_positions
+from tidemark.plans.graph_queries import POSITIONS, topology_positions
 from tidemark.plans.join_queries import _imports, _tokens
 from tidemark.plans.past_queries import _PRIORS
 from tidemark.plans.text_queries import _all_terms, _docs
@@ -108,15 +108,21 @@ def stack_fusion(spark, d):
     return prequential_linear(s, ["s", "t"], first + init, block, PROTOCOL.gap, train_from=first)
 
 
-def _graph_scores(spark, d, iterations=8):
-    """Scores of every event after the warm-up: rn, lp and ppr on files and developers (f) and on change tokens (t)."""
-    e, hubs = hub_events(spark, d)
+def _graph_scores(spark, d, iterations=8, stream=None, changed=None):
+    """Scores of every event after the warm-up: rn, lp and ppr on files and developers (f) and on change tokens (t).
+
+    ``stream`` has the events and their files, ``changed`` the change tokens, if a query has them already.
+    """
+    e, hubs = stream or hub_events(spark, d)
     n = e.count()
     starts, block, first = PROTOCOL.starts(n), PROTOCOL.block_length(n), PROTOCOL.first_scored(n)
     people = e.where("actor IS NOT NULL").select("id", "seq", "y", F.concat(F.lit("D:"), "actor").alias("hub"), F.lit(1.0).alias("tf"))
     core = hubs.select("id", "seq", "y", F.concat(F.lit("F:"), "hub").alias("hub"), F.lit(1.0).alias("tf")).unionByName(people)
-    tokens = _tokens(spark, d).join(e.select("id", "seq", "y"), "id").select("id", "seq", "y", F.concat(F.lit("T:"), "token").alias("hub"), F.col("n").cast("double").alias("tf"))
+    tokens = (_tokens(spark, d) if changed is None else changed).join(e.select("id", "seq", "y"), "id").select("id", "seq", "y", F.concat(F.lit("T:"), "token").alias("hub"), F.col("n").cast("double").alias("tf"))
     out = e.where(F.col("seq") >= first).select("id", "seq", "y")
+    core, tokens = durable(core), durable(tokens)
+    if starts and core.count() + tokens.count() <= blocks.ROWS:
+        return durable(out.join(blocks.graph_blocks(e, {"core": core, "tokens": tokens}, n, starts, block, iterations), "seq").select("id", "seq", "y", *[f"{g}_{m}" for g in ("core", "tokens", "full") for m in ("rn", "lp", "ppr")])), first, block
     for name, rows in (("core", core), ("tokens", tokens), ("full", core.unionByName(tokens))):
         inc = durable(graph.incidence(rows, n, weight="tf"))
         rn = graph.rn_scores(inc, e, block, first).select("id", F.col("rn").alias(f"{name}_rn"))
@@ -199,9 +205,9 @@ def fusion_power_set(spark, d):
 def final_config(spark, d):
     """The deployed configuration: F+G score, tier statistics, their expanding z-scores and the files' place in the graph, by an L1 head; the most
     confident 80 percent."""
-    s, first, block = _graph_scores(spark, d)
-    fg = prequential_linear(s.join(_text_prior(spark, d), "id").withColumn("seq", F.col("seq") - first), ["core_rn", "core_ppr", "prior"], 50, block, PROTOCOL.gap).select("id", F.col("score").alias("fg"))
     e, hubs = hub_events(spark, d)
+    s, first, block = _graph_scores(spark, d, stream=(e, hubs))
+    fg = prequential_linear(s.join(_text_prior(spark, d), "id").withColumn("seq", F.col("seq") - first), ["core_rn", "core_ppr", "prior"], 50, block, PROTOCOL.gap).select("id", F.col("score").alias("fg"))
     sets = ("T0", "T1_dep", "T1_dry", "TP")
     rated = durable(past.with_global_prior(e))
     x, columns = rated.select("id", "seq", "y"), []
@@ -214,7 +220,7 @@ def final_config(spark, d):
             x = x.withColumn(f"{name}_reach", F.log1p(F.expm1(f"{name}_size") / F.greatest(F.expm1("T0_size"), F.lit(1.0))))
             columns.append(f"{name}_reach")
     x = past.expanding_zs(durable(x), "seq", columns)
-    x = x.join(topology_positions(hubs, _edges(spark, d), n), "id", "left").na.fill(0.0, POSITIONS).join(fg, "id")
+    x = x.join(topology_positions(hubs, _imports(spark, d), rated.count()), "id", "left").na.fill(0.0, POSITIONS).join(fg, "id")
     x = x.withColumn("seq", F.col("seq") - (first + 50))
     init = ev.init_window(x, "seq", "y", 0, 50, 300, PROTOCOL.init_each)
     out = prequential_linear(x, ["fg", *columns, *[f"z_{c}" for c in columns], *POSITIONS], init, block, PROTOCOL.gap, inverse=0.2, l1=True)
