@@ -1,11 +1,14 @@
 """Blocks computed in tasks from numbers against joined frames."""
 
+import os
 import random
 
 import pytest
 
+from tests.parity import FOLDER
 from tests.test_online import frame, stream
 from tidemark.operators import blocks, graph, online, textgraph
+from tidemark.plans import model_queries
 
 N = 90
 
@@ -55,3 +58,11 @@ def test_models_of_tasks_equal_those_of_passes(spark, monkeypatch, l1, many):
 def test_models_are_fitted_without_a_pass_a_step(spark, monkeypatch):
     monkeypatch.setattr(online, "_derivatives", None)
     assert len({r["score"] for r in online.prequential_linear(frame(spark, *stream()), ["a", "b", "c"], 40, 50).collect()}) > 200
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
+@pytest.mark.parametrize("name,rows", [("fusion_search", 39)])
+def test_fusions_without_joined_walks(spark, monkeypatch, name, rows):
+    monkeypatch.setattr(model_queries.graph, "walk", None)
+    monkeypatch.setattr(model_queries.graph, "propagation_blocks", None)
+    assert model_queries.QUERIES[name](spark, FOLDER).count() == rows

@@ -156,10 +156,10 @@ def graph_methods(spark, d):
 def fusion_search(spark, d):
     """All 31 combinations of five graph scores by prequential stacking; which the rule of parsimony takes, and F, F+G, F+M and F+G+M for it
     and for the fixed overall choice (rn and ppr)."""
-    s, first, block = _graph_scores(spark, d)
+    e, hubs = hub_events(spark, d, tuple(METRICS))
+    s, first, block = _graph_scores(spark, d, stream=(e, hubs))
     prior = _text_prior(spark, d)
-    e = _metrics(spark, d)
-    m = prequential_linear(e, METRICS, first, block).select("id", F.col("score").alias("m_"))
+    m = prequential_linear(e.na.fill(0, METRICS), METRICS, first, block).select("id", F.col("score").alias("m_"))
     s = durable(s.join(prior.select("id", F.col("prior").alias("g_")), "id", "left").join(m, "id", "left").withColumn("at_", F.col("seq")).withColumn("seq", F.col("seq") - first))
     init = ev.init_window(s, "seq", "y", 0, 50, 300, PROTOCOL.init_each)
     methods = {"RN": "core_rn", "PPR": "core_ppr", "LP": "core_lp", "TRN": "tokens_rn", "TPPR": "tokens_ppr"}
