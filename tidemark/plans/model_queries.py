@@ -177,11 +177,11 @@ def fusion_search(spark, d):
 
 def fusion_ablation(spark, d):
     """The 63 subsets of six groups of features, each a prequential linear model: metrics, change tokens, priors, PageRank, propagation, text."""
-    s, first, block = _graph_scores(spark, d)
-    e = _metrics(spark, d)
-    _, hubs = hub_events(spark, d)
+    e, hubs = hub_events(spark, d, tuple(METRICS))
+    e, changed = e.na.fill(0, METRICS), durable(_tokens(spark, d))
+    s, first, block = _graph_scores(spark, d, stream=(e, hubs), changed=changed)
     priors = past.hub_prior(hubs, past.with_actor_prior(past.with_global_prior(e))).select("id", "global_rate", "actor_rate", "hub_mean", "hub_max")
-    ops = _tokens(spark, d).withColumn("op", F.substring_index("token", ":", 1)).groupBy("id").pivot("op", ["ADDS", "REMOVES", "UPDATES", "MOVES"]).agg(F.log1p(F.sum("n").cast("double")))
+    ops = changed.withColumn("op", F.substring_index("token", ":", 1)).groupBy("id").pivot("op", ["ADDS", "REMOVES", "UPDATES", "MOVES"]).agg(F.log1p(F.sum("n").cast("double")))
     prior = _text_prior(spark, d).withColumnRenamed("prior", "text_prior")
     ready = e.select("id", "seq", "y", *METRICS).join(priors, "id").join(ops, "id", "left").join(s.drop("seq", "y"), "id", "left").join(prior, "id", "left")
     groups = {
